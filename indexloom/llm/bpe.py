@@ -18,6 +18,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -182,7 +183,7 @@ def pieces(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 class Vocabulary:
     """Ranks of a byte-level BPE, with a cache of merged pieces that is emptied when it is full."""
 
-    CACHED = 300_000
+    CACHED = 500_000
     SHORT = 100
 
     def __init__(self, data: bytes):
@@ -244,7 +245,8 @@ class Vocabulary:
         if len(cache) > self.CACHED:
             cache.clear()
         for piece in set(found).difference(cache):
-            cache[piece] = np.asarray(self.merge(piece), "<u4").tobytes()
+            ids = self.merge(piece)
+            cache[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return [cache[p] for p in found]
 
     def decode(self, ids: np.ndarray) -> bytes:
