@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from indexloom.llm import bpe, neardup, quality
+from indexloom.llm import bpe, chunks, mixing, neardup, quality
 from indexloom.llm.common import checkpoint_dir, table
 
 
@@ -13,11 +13,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without chunks of lines that an earlier document has."""
+    return chunks.drop_repeated_chunks(docs)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return neardup.drop_near_duplicates(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled towards the target weights of sources, languages and topics."""
+    return mixing.sample_documents(docs)
+
+
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids."""
     return bpe.encode_documents(docs)
@@ -25,7 +35,9 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", quality_stage),
-    ("near-duplicates", near_duplicate_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("mixing", mixing_stage),
     ("byte-level BPE", encode_stage),
 ]
 
