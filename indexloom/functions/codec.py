@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,20 +36,27 @@ def width(layout: Layout) -> int:
     return sum(n for _, n, _ in layout)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _digits(frame: Column, offset: int | Column, size: int, big: bool) -> Column:
+    """The hexadecimal digits of an integer at an offset (from 0), highest first."""
+    at = (F.lit(offset) if isinstance(offset, int) else offset) + 1
+    if big:
+        return F.hex(F.substring(frame, at, F.lit(size)))
+    return F.concat(*[F.hex(F.substring(frame, at + i, F.lit(1))) for i in reversed(range(size))])
+
+
 def unsigned(frame: Column, offset: int | Column, size: int, big: bool = False) -> Column:
     """An unsigned integer of up to eight bytes at an offset (from 0); eight bytes wrap into a signed bigint."""
-    at = F.lit(offset) if isinstance(offset, int) else offset
-    out = None
-    for i in range(size):
-        byte = F.conv(F.hex(F.substring(frame, at + i + 1, F.lit(1))), 16, 10).cast("bigint")
-        shifted = F.shiftleft(byte, 8 * (size - 1 - i if big else i))
-        out = shifted if out is None else out.bitwiseOR(shifted)
-    return out
+    return F.conv(_digits(frame, offset, size, big), 16, -10).cast("bigint")
 
 
 def signed(frame: Column, offset: int | Column, size: int, big: bool = False) -> Column:
     raw = unsigned(frame, offset, size, big)
-    return raw if size == 8 else F.when(raw >= 1 << (8 * size - 1), raw - (1 << 8 * size)).otherwise(raw)
+    return raw if size == 8 else (raw + (1 << 8 * size - 1)).bitwiseAND((1 << 8 * size) - 1) - (1 << 8 * size - 1)
 
 
 def integer(value: Column, size: int) -> Column:
@@ -63,8 +72,12 @@ def encode(layout: Layout) -> Column:
 
 def decode(frame: Column, layout: Layout) -> Column:
     """A struct of the fields; null for a null or short frame. Bytes after the frame are passed over."""
-    fields, at = [], 0
-    for name, n, kind in layout:
-        fields.append(signed(frame, at, n).cast(kind).alias(name))
-        at += n
-    return F.when(F.octet_length(frame) >= at, F.struct(*fields))
+
+    def fields(f: Column) -> Column:
+        out, at = [], 0
+        for name, n, kind in layout:
+            out.append(signed(f, at, n).cast(kind).alias(name))
+            at += n
+        return F.when(F.octet_length(f) >= at, F.struct(*out))
+
+    return let(frame, fields)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .codec import signed, unsigned
+from .codec import let, signed, unsigned
 
 # Kinds of messages, least lengths, exchanges and price factors.
 ITCH_TRADE, ITCH_LENGTH, ITCH_EXCHANGE, ITCH_FACTOR = 0x50, 44, 1, 10_000
@@ -83,8 +83,8 @@ def parse(messages: DataFrame, protocol: str, symbols: DataFrame) -> DataFrame:
     Of a message with many entries the first one counts whose security is mapped.
     """
     if protocol != "cme":
-        return map_symbols(messages.withColumn("trade", PARSERS[protocol](F.col("message"))), symbols)
-    entries = messages.select("message_id", "receive_ts_nanos", F.posexplode(cme_entries(F.col("message"))).alias("nth", "trade"))
+        return map_symbols(messages.withColumn("trade", let(F.col("message"), PARSERS[protocol])), symbols)
+    entries = messages.select("message_id", "receive_ts_nanos", F.posexplode(let(F.col("message"), cme_entries)).alias("nth", "trade"))
     ticks = map_symbols(entries.select(F.struct("message_id", "nth").alias("message_id"), "receive_ts_nanos", "trade"), symbols)
     columns = [c for c in ticks.columns if c != "message_id"]
     first = ticks.groupBy(F.col("message_id.message_id").alias("message_id")).agg(F.min_by(F.struct(*columns), "message_id.nth").alias("t"))

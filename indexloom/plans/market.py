@@ -302,7 +302,7 @@ _ACTIONS = [(600, 100, 1, "ConstituentRemoval", 0), (800, 101, 2, "WeightChange"
 
 @query("corporate_action_path")
 def corporate_action_path(spark, sf_dir):
-    rows = spark.createDataFrame([(o + 3, *rest) for o, *rest in _ACTIONS], actions.ACTION_SCHEMA)
+    rows = catalog.local(spark, [(o + 3, *rest) for o, *rest in _ACTIONS], actions.ACTION_SCHEMA)
     return actions.values_after_actions(_applied(spark, sf_dir), catalog.constituents(spark), rows)
 
 
@@ -311,7 +311,7 @@ def corporate_action_path(spark, sf_dir):
     "SELECT * FROM (VALUES (100::SMALLINT, 1, 603::BIGINT, 'ConstituentRemoval', 18000000::BIGINT, 0::BIGINT), (100, 1, 1004, 'ConstituentAddition', 0, 18000000), (101, 2, 803, 'WeightChange', 15000000, 20000000), (102, 7, 1206, 'ConstituentRemoval', 25000000, 0), (102, 7, 1812, 'ConstituentAddition', 0, 30000000)) t(index_id, instrument_id, o1, type, w_before, w_after)",
 )
 def corporate_action_weights(spark, sf_dir):
-    rows = spark.createDataFrame([(o + 3, *rest) for o, *rest in _ACTIONS], actions.ACTION_SCHEMA)
+    rows = catalog.local(spark, [(o + 3, *rest) for o, *rest in _ACTIONS], actions.ACTION_SCHEMA)
     return actions.weight_history(rows, catalog.constituents(spark))
 
 
@@ -343,13 +343,13 @@ def refdata_errors(spark, sf_dir):
 def _broken(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The catalog with faults of many kinds."""
     extra = [(2, "VOD", 1, "GBP", "XLON", True), (9, "vod", 1, "GBP", "XLON", True), (10, "BLANK", 1, " ", "XLON", True), (11, "OFF", 1, "GBP", "XLON", False), (12, "US", 1, "USD", "XNYS", True)]
-    some = catalog.instruments(spark).unionByName(spark.createDataFrame(extra, catalog.INSTRUMENT_SCHEMA))
+    some = catalog.instruments(spark).unionByName(catalog.local(spark, extra, catalog.INSTRUMENT_SCHEMA))
     more = [(103, "EMPTY", "GBP", "WeightedPrice", 1, 1), (104, "idx100", "GBP", "WeightedPrice", 2, 1)]
-    indexes = catalog.indexes(spark).unionByName(spark.createDataFrame(more, catalog.INDEX_SCHEMA))
+    indexes = catalog.indexes(spark).unionByName(catalog.local(spark, more, catalog.INDEX_SCHEMA))
     one = fixed.SCALE
     held = [(100, 1000, 1, 1, False, 0, one, one), (100, 1, 1, 1, False, 0, one, one), (101, 11, 1, 0, False, 0, one, one), (102, 12, 0, 1, False, 0, one, one), (104, 1, 5, 1, False, 0, one, one)]
-    constituents = catalog.constituents(spark).unionByName(spark.createDataFrame(held, catalog.CONSTITUENT_SCHEMA))
-    return some, indexes, constituents, spark.createDataFrame([("GBP", "USD", one)], "from_currency string, to_currency string, rate_e8 bigint")
+    constituents = catalog.constituents(spark).unionByName(catalog.local(spark, held, catalog.CONSTITUENT_SCHEMA))
+    return some, indexes, constituents, catalog.local(spark, [("GBP", "USD", one)], "from_currency string, to_currency string, rate_e8 bigint")
 
 
 @query("codec_roundtrip", "SELECT arrival, sequence, instrument_id, exchange_id, price_e8, quantity, exchange_ts_nanos, receive_ts_nanos, partition, flags, 47 AS size FROM ticks", "ticks")
@@ -376,7 +376,7 @@ def _zeros(n: int) -> F.Column:
 def _feed(spark: SparkSession, sf_dir: str, protocol: str, message: F.Column) -> DataFrame:
     sent = ticks.clean_ticks(spark, sf_dir).withColumn("cents", F.floor(F.col("price_e8") / 1_000_000)).withColumn("traded", F.col("arrival") % 20 != 0)
     rows = sent.select(F.col("arrival").alias("message_id"), message.alias("message"), "receive_ts_nanos")
-    symbols = spark.createDataFrame([(key, i, i & 3) for i in range(1, 8) for key in (str(i), f"SYM{i}")], "symbol_key string, instrument_id int, partition int")
+    symbols = catalog.local(spark, [(key, i, i & 3) for i in range(1, 8) for key in (str(i), f"SYM{i}")], "symbol_key string, instrument_id int, partition int")
     return wire.parse(rows, protocol, symbols).drop("flags")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed
 
@@ -31,18 +34,25 @@ INSTRUMENT_SCHEMA = "instrument_id int, symbol string, primary_exchange_id small
 INDEX_SCHEMA = "index_id smallint, code string, currency string, methodology string, version bigint, effective_from_nanos bigint"
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that the optimiser knows the rows of."""
+    fields = T._parse_datatype_string(schema).fields
+    columns = {f.name: pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(fields)}
+    return spark.createDataFrame(pa.table(columns))
+
+
 def instruments(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, s, 1, "GBP", "XLON", True) for i, s, _ in INSTRUMENTS], INSTRUMENT_SCHEMA)
+    return local(spark, [(i, s, 1, "GBP", "XLON", True) for i, s, _ in INSTRUMENTS], INSTRUMENT_SCHEMA)
 
 
 def constituents(spark: SparkSession) -> DataFrame:
     prices = {i: p for i, _, p in INSTRUMENTS}
     rows = [(x, i, w, prices[i], False, 0, fixed.SCALE, fixed.SCALE) for x, by in WEIGHTS.items() for i, w in by.items()]
-    return spark.createDataFrame(rows, CONSTITUENT_SCHEMA)
+    return local(spark, rows, CONSTITUENT_SCHEMA)
 
 
 def indexes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x, f"IDX{x}", "GBP", "WeightedPrice", 1, 1) for x in WEIGHTS], INDEX_SCHEMA)
+    return local(spark, [(x, f"IDX{x}", "GBP", "WeightedPrice", 1, 1) for x in WEIGHTS], INDEX_SCHEMA)
 
 
 def many_constituents(spark: SparkSession, n_indexes: int = 64, each: int = 8, n_instruments: int = 256) -> DataFrame:
