@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_safe, table
+from .common import table
 
 #: A chunk begins at a line with a chance of one in DIVISOR.
 DIVISOR = 3
@@ -70,14 +70,15 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
 
 def drop_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """The rows of ``docs`` with repeated chunks cut out of text; a row whose text had a word and has none left is dropped."""
-    cuts = _repeats(docs, divisor, min_lines).groupBy("rank", "own").agg(F.collect_set("nth").alias("__cuts")).withColumnsRenamed({"rank": "__rank", "own": "__own"})
-    same = (F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("__rank")) & (F.md5(F.col("text").cast("binary")) == F.col("__own"))
-    joined = docs.join(cuts, same, "left")
-    left = F.filter(chunks(F.col("text"), divisor), lambda c, i: ~F.array_contains(F.col("__cuts"), i))
-    cut = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    cuts = _repeats(docs, divisor, min_lines).groupBy("rank", "own").agg(F.collect_set("nth").alias("cuts"))
+    text = F.col("row.text")
+    same = (F.coalesce(F.col("row.doc_id"), F.lit(LAST)) == F.col("rank")) & (F.md5(text.cast("binary")) == F.col("own"))
+    rows = docs.select(F.struct("*").alias("row")).join(cuts, same, "left")  # a struct, so that no name of docs can clash
+    left = F.array_join(F.filter(chunks(text, divisor), lambda c, i: ~F.array_contains(F.col("cuts"), i)), "\n")
     worded = lambda c: F.coalesce(c.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    joined = joined.withColumn("__left", cut).where(F.col("__cuts").isNull() | worded(F.col("__left")) | ~worded(F.col("text")))
-    return joined.select(*[F.col("__left").alias(c) if c == "text" else q for c, q in zip(docs.columns, null_safe(*docs.columns), strict=True)])
+    cut = F.when(F.col("cuts").isNull(), text).otherwise(left)
+    out = rows.select(F.col("row").withField("text", cut).alias("row"), (F.col("cuts").isNotNull() & worded(text)).alias("had"))
+    return out.where(~F.col("had") | worded(F.col("row.text"))).select("row.*")
 
 
 def op5_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

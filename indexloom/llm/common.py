@@ -7,7 +7,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A word is a maximal run of code points other than space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,7 +81,3 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written once to the shared folder, with their lineage cut."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def null_safe(*columns: str) -> list:
-    return [F.col(f"`{c}`") for c in columns]

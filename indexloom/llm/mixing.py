@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, null_safe, table
+from .common import WORD, table
 
 OTHER = "(other)"
 ROUNDS = 500
@@ -100,16 +100,16 @@ def probabilities(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.
 
 
 def _with_cells(docs: DataFrame, targets: Targets, topic: Column | None) -> DataFrame:
-    """``docs`` with the columns __tokens and __source, __lang, __topic of categories."""
-    out = docs.withColumn("__tokens", n_tokens(F.col("text")))
-    kind = form_topic(F.col("text"), F.col("__tokens")) if topic is None else topic
-    return out.select("*", category(F.col("source"), targets["source"]).alias("__source"), category(F.col("lang"), targets["lang"]).alias("__lang"), category(kind, targets["topic"]).alias("__topic"))
+    """row (a struct of all columns, so that no name can clash), tokens and the categories source, lang and topic."""
+    kind = form_topic(F.col("text"), n_tokens(F.col("text"))) if topic is None else topic
+    out = docs.select(F.struct("*").alias("row"), n_tokens(F.col("text")).alias("tokens"), F.col("source").alias("s"), F.col("lang").alias("l"), kind.alias("t"))
+    return out.select("row", "tokens", category(F.col("s"), targets["source"]).alias("source"), category(F.col("l"), targets["lang"]).alias("lang"), category(F.col("t"), targets["topic"]).alias("topic"))
 
 
 def calibrate(docs: DataFrame, targets: Targets = TARGETS, budget: float = BUDGET, topic: Column | None = None) -> dict[tuple[str, str, str], tuple[float, float]]:
     """(weight, probability) of every cell; at most one row a cell comes to the driver."""
     names = {k: list(shares(v)) for k, v in targets.items()}
-    cells = _with_cells(docs, targets, topic).groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens"))
+    cells = _with_cells(docs, targets, topic).groupBy("source", "lang", "topic").agg(F.sum("tokens"))
     tokens = np.zeros([len(names[k]) for k in ("source", "lang", "topic")])
     for s, l, t, n in cells.collect():
         tokens[names["source"].index(s), names["lang"].index(l), names["topic"].index(t)] = n
@@ -120,27 +120,27 @@ def calibrate(docs: DataFrame, targets: Targets = TARGETS, budget: float = BUDGE
 
 def _draw(seed: str) -> Column:
     """A number in [0, 1) for each row, from its doc_id or else its text."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    key = F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("row.text", F.lit("")).cast("binary"))))
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def _sampled(docs: DataFrame, targets: Targets, budget: float, seed: str, topic: Column | None) -> DataFrame:
     rows = [(*cell, *both) for cell, both in calibrate(docs, targets, budget, topic).items()]
     spark = docs.sparkSession
-    cells = spark.createDataFrame(rows, "__source string, __lang string, __topic string, __weight double, __p double")
-    joined = _with_cells(docs, targets, topic).join(F.broadcast(cells), ["__source", "__lang", "__topic"])
-    return joined.withColumn("__kept", _draw(seed) < F.col("__p"))
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, weight double, probability double")
+    joined = _with_cells(docs, targets, topic).join(F.broadcast(cells), ["source", "lang", "topic"])  # as many rows as the targets have cells
+    return joined.withColumn("sampled", _draw(seed) < F.col("probability"))
 
 
 def mixture(docs: DataFrame, targets: Targets = TARGETS, budget: float = BUDGET, seed: str = SEED, topic: Column | None = None) -> DataFrame:
     """doc_id, its categories, n_tokens, weight, probability and sampled of every row of ``docs``."""
     out = _sampled(docs, targets, budget, seed, topic)
-    return out.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__p").alias("probability"), F.col("__kept").alias("sampled"))
+    return out.select("row.doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), "weight", "probability", "sampled")
 
 
 def sample_documents(docs: DataFrame, targets: Targets = TARGETS, budget: float = BUDGET, seed: str = SEED, topic: Column | None = None) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns."""
-    return _sampled(docs, targets, budget, seed, topic).where("__kept").select(*null_safe(*docs.columns))
+    return _sampled(docs, targets, budget, seed, topic).where("sampled").select("row.*")
 
 
 def op1_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

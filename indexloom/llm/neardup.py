@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, null_safe, split_words, steps, table
+from .common import cut, mix64, split_words, steps, table
 from .components import components
 
 SHINGLE = 5
@@ -246,13 +246,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs``, with all their columns, but of each group only one: the least doc_id. Rows without words all stay."""
     nodes = node_classes(docs, similarity, bands, rows)
-    kept = nodes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k"))
-    kept = kept.select(F.col("k.node").alias("__node"), F.col("k.doc_id").alias("__doc_id"))
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    own = docs.withColumn("__own", F.unhex(F.md5(F.col("text").cast("binary"))))
-    one = own.where(worded).join(kept, (F.col("__own") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")))
-    one = one.withColumn("__nth", F.row_number().over(Window.partitionBy("__own", "doc_id").orderBy("doc_id"))).where("__nth = 1")
-    return one.select(*null_safe(*docs.columns)).unionByName(docs.where(~worded))
+    kept = nodes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k")).select("k.node", "k.doc_id")
+    rows = docs.select(F.struct("*").alias("row"))  # so that no name of docs can clash
+    worded = F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = rows.where(worded).withColumn("own", F.unhex(F.md5(F.col("row.text").cast("binary"))))
+    one = own.join(kept, (F.col("own") == F.col("node")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    nth = F.row_number().over(Window.partitionBy("own", F.col("row.doc_id")).orderBy("own"))
+    one = one.withColumn("nth", nth).where("nth = 1").select("row")
+    return one.union(rows.where(~worded)).select("row.*")
 
 
 def op10_bagminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import null_safe, table
+from .common import free_name, table
 
 #: Units cover a text: a run without line or sentence ends, and what ends it.
 UNIT = re.compile(r"[^\n.!?]+(?:[\n.!?]+[ \t\n]*)?|[\n.!?]+[ \t\n]*")
@@ -76,20 +76,21 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the passages cut out of text, and a column kept_spans of the (start, stop) that are left of the original."""
-    cuts = _runs(docs, min_words).groupBy("doc_id", "own").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"), "__cuts")
-    same = (F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__own"))
-    joined = docs.join(cuts, same, "left")
-    size = F.length("text")
+    """``docs`` with the passages cut out of text, and a column kept_spans (with a leading ``_`` if the name is taken) of the (start, stop) that are left of the original."""
+    cuts = _runs(docs, min_words).groupBy("doc_id", "own").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    text = F.col("row.text")
+    same = (F.coalesce(F.col("row.doc_id"), F.lit(LAST)) == F.col("doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("own"))
+    joined = docs.select(F.struct("*").alias("row")).join(cuts, same, "left")  # a struct, so that no name of docs can clash
+    size = F.length(text)
     edge = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))
     end = F.struct(size.alias("start"), size.alias("stop"))
-    marks = F.concat(F.array(edge), F.coalesce("__cuts", F.array().cast("array<struct<start:int,stop:int>>")), F.array(end))
-    gaps = F.transform(F.sequence(F.lit(1), F.size(marks) - 1), lambda i: F.struct(F.element_at(marks, i)["stop"].alias("start"), F.element_at(marks, i + 1)["start"].alias("stop")))
-    kept = F.filter(gaps, lambda g: g["start"] < g["stop"])
-    left = joined.withColumn("__kept", F.when(F.col("text").isNotNull(), kept))
-    text = F.concat_ws("", F.transform("__kept", lambda g: F.substring(F.col("text"), g["start"] + 1, g["stop"] - g["start"])))
-    return left.select(*[F.when(F.col("text").isNotNull(), text).alias(c) if c == "text" else q for c, q in zip(docs.columns, null_safe(*docs.columns), strict=True)], F.col("__kept").alias("kept_spans"))
+    marks = F.concat(F.array(edge), F.coalesce("cuts", F.array().cast("array<struct<start:int,stop:int>>")), F.array(end))
+    gaps = F.zip_with(F.slice(marks, 1, F.size(marks) - 1), F.slice(marks, 2, F.size(marks) - 1), lambda a, b: F.struct(a["stop"].alias("start"), b["start"].alias("stop")))
+    kept = F.when(text.isNotNull(), F.filter(gaps, lambda g: g["start"] < g["stop"]))
+    left = F.concat_ws("", F.transform("kept", lambda g: F.substring(text, g["start"] + 1, g["stop"] - g["start"])))
+    out = joined.select("row", "cuts", kept.alias("kept"))
+    name = free_name(docs.columns, "kept_spans")
+    return out.select(F.col("row").withField("text", F.when(F.col("cuts").isNull(), text).otherwise(left)).alias("row"), F.col("kept").alias(name)).select("row.*", name)
 
 
 def op4_line_hash_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
