@@ -7,11 +7,12 @@ index stays a sum of changes over ticks and actions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .index_values import base_values, running
+from . import blocks
+from .index_values import base_values
 
 CHANGE, ADDITION, REMOVAL = "WeightChange", "ConstituentAddition", "ConstituentRemoval"
 
@@ -40,17 +41,16 @@ def path(ticks: DataFrame, constituents: DataFrame, actions: DataFrame) -> DataF
     of_ticks = ticks.select("instrument_id", "o1", "o2", "price_e8", "exchange_ts_nanos", none.cast("string").alias("type"), none.cast("bigint").alias("w_before"), none.cast("bigint").alias("w_after")).join(held, "instrument_id")
     of_actions = history.join(held, ["index_id", "instrument_id"]).select("instrument_id", "o1", F.lit(-1).cast("bigint").alias("o2"), none.cast("bigint").alias("price_e8"), none.cast("bigint").alias("exchange_ts_nanos"), "type", "w_before", "w_after", "index_id", "weight_e8", "initial_price_e8")
     both = of_ticks.unionByName(of_actions)
-    by = Window.partitionBy("index_id", "instrument_id").orderBy("o1", "o2")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    weighed = both.withColumn("w", F.coalesce("w_before", F.last("w_after", ignorenulls=True).over(before), F.col("weight_e8"))).where("type IS NOT NULL OR w <> 0")
-    newest = F.greatest(F.lit(0), F.coalesce(F.max("exchange_ts_nanos").over(before), F.lit(0)))
-    fresh = weighed.withColumn("newest", newest).where("type IS NOT NULL OR exchange_ts_nanos >= newest")
-    previous = F.coalesce(F.last("price_e8", ignorenulls=True).over(before), F.col("initial_price_e8"))
-    moved = fresh.withColumn("previous", previous)
+    by = ["index_id", "instrument_id"]
+    is_tick, is_action = F.col("type").isNull(), F.col("type").isNotNull()
+    weighed = blocks.running(both, by, {"w_last": (blocks.LAST, F.col("w_after"))}).withColumn("w", F.coalesce("w_before", "w_last", "weight_e8")).where(is_action | (F.col("w") != 0))
+    aged = blocks.running(weighed, by, {"newest": (blocks.MAX, F.col("exchange_ts_nanos"))})
+    fresh = aged.where(is_action | (F.col("exchange_ts_nanos") >= F.greatest(F.lit(0), F.coalesce("newest", F.lit(0)))))
+    moved = blocks.running(fresh, by, {"last_price": (blocks.LAST, F.col("price_e8"))}).withColumn("previous", F.coalesce("last_price", "initial_price_e8"))
     tick = fixed.contribution(F.col("price_e8") - F.col("previous"), F.col("w"))
     action = fixed.contribution(F.col("previous"), F.col("w_after")) - fixed.contribution(F.col("previous"), F.col("w_before"))
     count = F.when(F.col("type") == ADDITION, 1).when(F.col("type") == REMOVAL, -1).otherwise(0)
-    return moved.select("index_id", "instrument_id", "o1", "o2", "type", "w_before", "w_after", F.coalesce(F.when(F.col("type").isNull(), tick).otherwise(action), F.lit(0)).cast("bigint").alias("delta_e8"), count.cast("bigint").alias("count_change"))
+    return moved.select("index_id", "instrument_id", "o1", "o2", "type", "w_before", "w_after", F.coalesce(F.when(is_tick, tick).otherwise(action), F.lit(0)).cast("bigint").alias("delta_e8"), count.cast("bigint").alias("count_change"))
 
 
 def values_after_actions(ticks: DataFrame, constituents: DataFrame, actions: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def values_after_actions(ticks: DataFrame, constituents: DataFrame, actions: Dat
     only one row for each action and index is put in order.
     """
     rows = path(ticks, constituents, actions)
-    numbered = running(rows, ["index_id"], {"span": F.when(F.col("type").isNotNull(), 1).otherwise(0)})
+    numbered = blocks.running(rows, ["index_id"], {"span": (blocks.SUM, F.col("type").isNotNull().cast("bigint"))}, before=False)
     sums = numbered.groupBy("index_id", "span").agg(F.sum(F.when(F.col("type").isNull(), F.col("delta_e8")).otherwise(0)).alias("ticks_e8"), F.sum(F.when(F.col("type").isNotNull(), F.col("delta_e8"))).alias("action_e8"), F.sum("count_change").alias("count_change"), F.count("*").alias("n"))
     ordered = sums.groupBy("index_id").agg(F.array_sort(F.collect_list(F.struct("span", "ticks_e8", "action_e8", "count_change", "n"))).alias("spans"))
     start = F.struct(F.col("base_e8").alias("v"), F.col("divisor").alias("d"), F.col("constituent_count").cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("s"))

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blocks
+
 REPORT, BUFFER, DROP = "report", "buffer", "drop"
 CAPACITY = 8
 
@@ -27,13 +29,13 @@ ACCEPTED, GAP, DUPLICATE, DROPPED, FULL, RECOVERED, PENDING = "accepted", "gap",
 
 def report(ticks: DataFrame) -> DataFrame:
     """Gaps are counted and applied at once."""
-    before = Window.partitionBy("instrument_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.greatest(F.lit(-1), F.coalesce(F.max("sequence").over(before), F.lit(-1)))
+    ordered = ticks.select("*", F.col("arrival").alias("o1"), F.lit(0).cast("bigint").alias("o2"))
+    out = blocks.running(ordered, ["instrument_id"], {"__last": (blocks.MAX, F.col("sequence"))})
+    last = F.greatest(F.lit(-1), F.coalesce("__last", F.lit(-1)))
     known = (F.col("sequence") > 0) & (last >= 0)
     status = F.when(known & (F.col("sequence") <= last), DUPLICATE).when(known & (F.col("sequence") > last + 1), GAP).otherwise(ACCEPTED)
-    out = ticks.withColumn("status", status)
     applied = F.col("status") != DUPLICATE
-    return out.withColumn("o1", F.when(applied, F.col("arrival"))).withColumn("o2", F.when(applied, F.lit(0).cast("bigint")))
+    return out.withColumn("status", status).select(*ticks.columns, "status", F.when(applied, F.col("o1")).alias("o1"), F.when(applied, F.col("o2")).alias("o2"))
 
 
 def buffer_unbounded(ticks: DataFrame) -> DataFrame:

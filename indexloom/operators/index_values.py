@@ -1,19 +1,16 @@
 """From accepted ticks to index values: fan-out, stale gate, incremental value and level.
 
 Ticks carry the order of application (``o1``, ``o2``). An index value is its base plus the sum of truncated changes, so
-it depends on the path of prices, not only on the last ones. Running sums are taken in two steps, within blocks of the
-order and over the totals of blocks, so an index with many ticks does not end in one task.
+it depends on the path of prices, not only on the last ones. Running values are taken by blocks (``blocks.running``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-
-#: Values of o1 that a block of a running sum spans.
-BLOCK = 1 << 16
+from . import blocks
 
 
 def in_order(ticks: DataFrame) -> DataFrame:
@@ -42,29 +39,16 @@ def fan_out_factor(ticks: DataFrame, constituents: DataFrame) -> DataFrame:
 
 def stale_gate(routed: DataFrame) -> DataFrame:
     """``routed`` with ``stale``: whether a tick is older than one that was applied before it, for each index and instrument."""
-    before = Window.partitionBy("index_id", "instrument_id").orderBy("o1", "o2").rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.greatest(F.lit(0), F.coalesce(F.max("exchange_ts_nanos").over(before), F.lit(0)))
-    return routed.withColumn("stale", F.col("exchange_ts_nanos") < newest)
+    out = blocks.running(routed, ["index_id", "instrument_id"], {"__newest": (blocks.MAX, F.col("exchange_ts_nanos"))})
+    newest = F.greatest(F.lit(0), F.coalesce("__newest", F.lit(0)))
+    return out.withColumn("stale", F.col("exchange_ts_nanos") < newest).drop("__newest")
 
 
 def changes(fresh: DataFrame) -> DataFrame:
     """``fresh`` (routed ticks that are not stale) with the change of value that each one makes."""
-    by = Window.partitionBy("index_id", "instrument_id").orderBy("o1", "o2")
-    previous = F.coalesce(F.lag("price_e8").over(by), F.col("initial_price_e8"))
-    return fresh.withColumn("delta_e8", fixed.contribution(F.col("price_e8") - previous, F.col("weight_e8")))
-
-
-def running(df: DataFrame, by: list[str], sums: dict[str, Column], block: int = BLOCK) -> DataFrame:
-    """``df`` with running sums (in the order of o1, o2) of the given columns for each key."""
-    blocked = df.withColumn("__block", F.floor(F.col("o1") / block))
-    keys = [*by, "__block"]
-    totals = blocked.groupBy(*keys).agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
-    within = Window.partitionBy(*keys).orderBy("o1", "o2").rowsBetween(Window.unboundedPreceding, 0)
-    own = blocked.select("*", *[F.sum(c).over(within).alias(n) for n, c in sums.items()])
-    joined = own.join(starts, keys)
-    return joined.select(*df.columns, *[(F.col(n) + F.col(f"__{n}")).cast("bigint").alias(n) for n in sums])
+    out = blocks.running(fresh, ["index_id", "instrument_id"], {"__previous": (blocks.LAST, F.col("price_e8"))})
+    previous = F.coalesce("__previous", "initial_price_e8")
+    return out.withColumn("delta_e8", fixed.contribution(F.col("price_e8") - previous, F.col("weight_e8"))).drop("__previous")
 
 
 def _fresh(ticks: DataFrame, constituents: DataFrame, prevalidated: bool) -> DataFrame:
@@ -74,7 +58,8 @@ def _fresh(ticks: DataFrame, constituents: DataFrame, prevalidated: bool) -> Dat
 
 def value_path(ticks: DataFrame, constituents: DataFrame, prevalidated: bool = False) -> DataFrame:
     """The value and level of each index after each tick that is applied to it."""
-    path = running(_fresh(ticks, constituents, prevalidated), ["index_id"], {"sum_e8": F.col("delta_e8"), "index_sequence": F.lit(1)})
+    sums = {"sum_e8": (blocks.SUM, F.col("delta_e8")), "index_sequence": (blocks.SUM, F.lit(1).cast("bigint"))}
+    path = blocks.running(_fresh(ticks, constituents, prevalidated), ["index_id"], sums, before=False)
     value = F.col("base_e8") + F.col("sum_e8")
     out = path.join(base_values(constituents), "index_id").withColumn("value_e8", value.cast("bigint"))
     return out.select("index_id", F.col("index_sequence").alias("sequence"), "arrival", "instrument_id", "price_e8", "value_e8", fixed.level(F.col("value_e8"), F.col("divisor")).alias("level_e8"), F.col("receive_ts_nanos").alias("timestamp_nanos"), "constituent_count", "o1", "o2")
@@ -103,7 +88,7 @@ def recomputed_values(ticks: DataFrame, constituents: DataFrame) -> DataFrame:
     return priced.groupBy("index_id").agg(F.sum(fixed.contribution(price, F.col("weight_e8"))).cast("bigint").alias("value_e8"))
 
 
-def tick_status(ticks: DataFrame, constituents: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
+def tick_status(ticks: DataFrame, constituents: DataFrame) -> DataFrame:
     """Each applied tick as ``applied``, or, if no index took it, ``stale`` (flagged so by the feed) or ``failed``."""
     routed = stale_gate(fan_out(ticks, constituents))
     took = routed.groupBy("arrival").agg(F.count_if(~F.col("stale")).alias("taken"))

@@ -95,5 +95,7 @@ def alarm_states(points: DataFrame, alarm: Alarm, ts_micros: str, value: Column,
     else:
         statistic = (F.max if alarm.statistic == "max" else F.sum)(value).cast("double")
     out = points.groupBy(period).agg(statistic.alias("value")).withColumn("breaching", F.col("value") > alarm.threshold)
-    by_period = Window.orderBy("period").rangeBetween(-(alarm.periods - 1), 0)
-    return out.withColumn("alarm", F.count_if("breaching").over(by_period) >= alarm.periods)
+    # a breach counts for its own and the next periods; a period with as many breaches as it looks back on is in alarm
+    reach = F.explode(F.sequence(F.col("period"), F.col("period") + (alarm.periods - 1))).alias("period")
+    runs = out.where("breaching").select(reach).groupBy("period").agg(F.count("*").alias("n"))
+    return out.join(runs, "period", "left").select("period", "value", "breaching", (F.coalesce("n", F.lit(0)) >= alarm.periods).alias("alarm"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..operators import blocks
 
 N_INSTRUMENTS = 8
 PARTITIONS = 4
@@ -26,9 +27,11 @@ def clean_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         exchange = F.when(F.col("event_type") == kind, n).otherwise(exchange)
     wall = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))  # the wall clock, whatever the session's zone
     rows = events.select("event_id", instrument.alias("instrument_id"), exchange.cast("smallint").alias("exchange_id"), fixed.to_scaled(F.col("value")).alias("price_e8"), F.get_json_object("props", "$.k").cast("int").alias("quantity"), (wall * 1000).alias("exchange_ts_nanos"))
-    return rows.select(
-        (F.col("event_id") * 4).alias("arrival"),
-        F.row_number().over(Window.partitionBy("instrument_id").orderBy("event_id")).cast("bigint").alias("sequence"),
+    ordered = rows.select("*", (F.col("event_id") * 4).alias("o1"), F.lit(0).alias("o2"))
+    counted = blocks.running(ordered, ["instrument_id"], {"sequence": (blocks.SUM, F.lit(1).cast("bigint"))}, before=False)
+    return counted.select(
+        F.col("o1").alias("arrival"),
+        "sequence",
         "instrument_id",
         "exchange_id",
         "price_e8",
