@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from indexloom.llm import bpe, chunks, mixing, neardup, quality
-from indexloom.llm.common import checkpoint_dir, table
+from indexloom.llm.common import cut, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents; each stage's rows are cut from what made them in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    checkpoint_dir(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = docs.checkpoint(eager=True)
+            docs = cut(docs)
     return docs
