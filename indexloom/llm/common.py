@@ -77,7 +77,17 @@ def checkpoint_dir(spark: SparkSession, default: str = "/tmp/indexloom-checkpoin
     return path
 
 
+#: Set while a cut runs: its shuffle files go when its rows are written, not when the driver next collects its garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written once to the shared folder, with their lineage cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of ``df`` written once to the shared folder, with their lineage cut and their shuffle files deleted."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(FILE_CLEANUP)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a frame of its own, which is made under that setting
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)

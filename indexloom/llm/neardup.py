@@ -229,7 +229,7 @@ def node_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     residual = named.join(split, "band").select("node", "component").distinct()
     more = cut(_links(_across(residual, texts, similarity), texts, similarity))
     if not more.isEmpty():
-        found = components(links.union(more))
+        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     return first.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
 
 
