@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import cut, free_name, table
 
 #: Units cover a text: a run without line or sentence ends, and what ends it.
 UNIT = re.compile(r"[^\n.!?]+(?:[\n.!?]+[ \t\n]*)?|[\n.!?]+[ \t\n]*")
@@ -62,7 +62,7 @@ def _runs(docs: DataFrame, min_words: int) -> DataFrame:
     schema = "digest bigint, own bigint, doc_id bigint, nth int, start int, stop int, words int, again boolean"
     found = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc_id"), "text").mapInArrow(_units, schema)
     first = found.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("last"), F.max("again").alias("twice"))
-    first = first.where("kept < last OR twice").select("digest", "kept")
+    first = cut(first.where("kept < last OR twice").select("digest", "kept"))  # so that both sides of the join are shuffled for it, and a frequent digest can be split
     repeats = found.join(first, "digest").where("again OR kept < doc_id").drop("digest", "again").distinct()
     run = F.col("nth") - F.row_number().over(Window.partitionBy("doc_id", "own").orderBy("nth"))
     runs = repeats.withColumn("run", run).groupBy("doc_id", "own", "run")
