@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: A chunk begins at a line with a chance of one in DIVISOR.
 DIVISOR = 3
@@ -53,11 +53,12 @@ def _repeats(docs: DataFrame, divisor: int, min_lines: int) -> DataFrame:
     """(rank, own, nth, chunk, kept) of every chunk to remove; rank is doc_id with nulls last, own tells texts apart."""
     rows = docs.where(F.col("text").contains("\n")).select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("rank"), F.md5(F.col("text").cast("binary")).alias("own"), F.posexplode(chunks(F.col("text"), divisor)).alias("nth", "chunk"))
     rows = rows.where(_n_lines(F.col("chunk")) >= min_lines).withColumn("hash", F.xxhash64("chunk"))
-    often = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    suspects = rows.join(often, "hash")
+    # what is joined is written first, so that both sides are shuffled for the join and a frequent chunk can be split
+    often = cut(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    suspects = cut(rows.join(often, "hash"))
     first = suspects.groupBy("hash", "chunk").agg(F.min(F.struct("rank", "own", "nth")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("hash", F.col("chunk").alias("bytes"), "kept")
-    equal = suspects.join(first, (suspects.hash == first.hash) & (F.col("chunk") == F.col("bytes")))  # the byte comparison
+    first = cut(first.select(F.col("hash").alias("of"), F.col("chunk").alias("bytes"), "kept"))
+    equal = suspects.join(first, (F.col("hash") == F.col("of")) & (F.col("chunk") == F.col("bytes")))  # the byte comparison
     return equal.where(F.struct("rank", "own", "nth") > F.col("kept")).select("rank", "own", "nth", "chunk", "kept").distinct()
 
 
@@ -76,8 +77,8 @@ def drop_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int
     rows = docs.select(F.struct("*").alias("row")).join(cuts, same, "left")  # a struct, so that no name of docs can clash
     left = F.array_join(F.filter(chunks(text, divisor), lambda c, i: ~F.array_contains(F.col("cuts"), i)), "\n")
     worded = lambda c: F.coalesce(c.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    cut = F.when(F.col("cuts").isNull(), text).otherwise(left)
-    out = rows.select(F.col("row").withField("text", cut).alias("row"), (F.col("cuts").isNotNull() & worded(text)).alias("had"))
+    kept = F.when(F.col("cuts").isNull(), text).otherwise(left)
+    out = rows.select(F.col("row").withField("text", kept).alias("row"), (F.col("cuts").isNotNull() & worded(text)).alias("had"))
     return out.where(~F.col("had") | worded(F.col("row.text"))).select("row.*")
 
 
