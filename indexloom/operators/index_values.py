@@ -45,7 +45,7 @@ def stale_gate(routed: DataFrame) -> DataFrame:
 
 
 def changes(fresh: DataFrame) -> DataFrame:
-    """``fresh`` (routed ticks that are not stale) with the change of value that each one makes."""
+    """``fresh`` (routed ticks that are not stale) with the change of value that each one makes; a tick without a price makes none (null)."""
     out = blocks.running(fresh, ["index_id", "instrument_id"], {"__previous": (blocks.LAST, F.col("price_e8"))})
     previous = F.coalesce("__previous", "initial_price_e8")
     return out.withColumn("delta_e8", fixed.contribution(F.col("price_e8") - previous, F.col("weight_e8"))).drop("__previous")
@@ -68,13 +68,15 @@ def value_path(ticks: DataFrame, constituents: DataFrame, prevalidated: bool = F
 def latest_values(ticks: DataFrame, constituents: DataFrame, prevalidated: bool = False) -> DataFrame:
     """The last value and level of each index; an index that no tick touches keeps its base value, with sequence 0.
 
-    The last value needs only the sum of changes, which is aggregated before it is shuffled.
+    The last value needs only the sum of changes, which is aggregated before it is shuffled. Stale ticks stay among the
+    rows, as they are counted, but have no price; so the plan above this point is held once.
     """
     routed = fan_out(ticks, constituents)
     judged = routed.withColumn("stale", F.lit(False)) if prevalidated else stale_gate(routed)
-    moved = changes(judged.where("NOT stale")).groupBy("index_id").agg(F.sum("delta_e8").alias("sum_e8"), F.count("*").alias("sequence"), F.max_by("receive_ts_nanos", F.struct("o1", "o2")).alias("timestamp_nanos"))
-    old = judged.groupBy("index_id").agg(F.count_if("stale").cast("int").alias("stale_constituent_count"))
-    out = base_values(constituents).join(moved, "index_id", "left").join(old, "index_id", "left")
+    fresh = ~F.col("stale")
+    moved = changes(judged.withColumn("price_e8", F.when(fresh, F.col("price_e8"))))
+    totals = moved.groupBy("index_id").agg(F.sum("delta_e8").alias("sum_e8"), F.count_if(fresh).alias("sequence"), F.max_by("receive_ts_nanos", F.when(fresh, F.struct("o1", "o2"))).alias("timestamp_nanos"), F.count_if("stale").cast("int").alias("stale_constituent_count"))
+    out = base_values(constituents).join(totals, "index_id", "left")
     out = out.withColumn("value_e8", (F.col("base_e8") + F.coalesce("sum_e8", F.lit(0))).cast("bigint"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("index_id", zero("sequence"), "value_e8", fixed.level(F.col("value_e8"), F.col("divisor")).alias("level_e8"), zero("timestamp_nanos"), "constituent_count", zero("stale_constituent_count"))
