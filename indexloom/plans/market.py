@@ -292,9 +292,9 @@ SELECT b.index_id, count(*) AS sequence, (base_e8 + sum(d))::BIGINT AS value_e8,
 )
 def restore_replay(spark, sf_dir):
     all_ticks = index_values.in_order(ticks.clean_ticks(spark, sf_dir)).withColumn("status", F.lit(gates.ACCEPTED))
-    half = (F.col("arrival") / 4).cast("bigint") % 100_000 < 2_000
-    snap = latest.snapshot(all_ticks.where(half), catalog.constituents(spark))
-    return latest.restored_values(snap, all_ticks.where(~half))
+    before = F.col("arrival") < 2_000 * 4  # one arrival, so that the snapshot is a prefix at every size
+    snap = latest.snapshot(all_ticks.where(before), catalog.constituents(spark))
+    return latest.restored_values(snap, all_ticks.where(~before))
 
 
 _ACTIONS = [(600, 100, 1, "ConstituentRemoval", 0), (800, 101, 2, "WeightChange", 20_000_000), (1_001, 100, 1, "ConstituentAddition", 18_000_000), (1_203, 102, 7, "ConstituentRemoval", 0), (1_405, 100, 3, "ConstituentAddition", 5), (1_607, 101, 9, "WeightChange", 7), (1_809, 102, 7, "ConstituentAddition", 30_000_000), (2_011, 102, 8, "Split", 3)]

@@ -41,6 +41,18 @@ def test_oracle(spark, name):
     assert as_set(got.columns, [tuple(r) for r in got.collect()]) == as_set(columns, want.fetchall())
 
 
+def test_restore_replay_above_100_000_events(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.withColumn("event_id", F.col("event_id") * 150).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert db.execute("SELECT max(event_id) > 100_000 AND count(*) FILTER (WHERE event_id BETWEEN 100_000 AND 101_999) > 0 FROM events").fetchone()[0]
+    want = db.execute(market.ORACLES["restore_replay"])
+    columns = [c[0] for c in want.description]
+    got = market.QUERIES["restore_replay"](spark, str(tmp_path))
+    assert as_set(got.columns, [tuple(r) for r in got.collect()]) == as_set(columns, want.fetchall())
+
+
 def test_base_values(spark):
     got = {r.index_id: (r.base_e8, r.divisor) for r in index_values.base_values(catalog.constituents(spark)).collect()}
     assert got == {100: (5_228_625_000, 5_228_625.0), 101: (6_874_200_000, 6_874_200.0), 102: (2_525_750_000, 2_525_750.0)}
