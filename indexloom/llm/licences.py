@@ -5,8 +5,9 @@ A text is cut into sentences, each is normalised (lower case, runs of anything b
 order, are matched against ordered rules: a rule is a sequence of identifiers that must stand next to each other; the
 first rules are tried first and take what they match, so a full licence wins over the short notice it contains.
 
-A text is read twice, with its line breaks as sentence ends and with single line breaks as spaces (wrapped paragraphs);
-the reading that finds more identifiers counts, the first one on a tie. Texts without a word that every known sentence
+A known sentence is one line, or several in a row without an empty one or a stop between them (wrapped paragraphs), so
+line notices and wrapped licences of one text are both found; where two start at one line, the longer one counts. The
+blanks in ``SPDX-License-Identifier: MIT`` and ``v. 2.0`` end no sentence. Texts without a word that every known sentence
 has one of are not cut at all, which changes no result.
 
 Defined results: a null or empty text has no identifiers and no licences; unknown sentences are passed over; repeated
@@ -16,6 +17,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,16 +98,24 @@ RULES = [
 GATE = ("licens", "rights", "copyright", "warrant", "domain", "redistribut", "permission")
 
 
-def normal(sentence: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.+-]+", " "), r"^[ .-]+|[ .-]+$", "")
+#: White space after a stop ends a sentence, but not within "SPDX-License-Identifier: MIT" and "v. 2.0".
+SENTENCE_END = r"(?i)(?<=[.;:!?])(?<!spdx-license-identifier:)(?!(?<=\bv\.)[ \t\n]+[0-9])[ \t\n]+"
+
+
+def normal_lines(text: Column) -> Column:
+    """The lines of a text in normal form; an empty line stands where a sentence ends for certain."""
+    low = F.regexp_replace(F.lower(F.regexp_replace(text, SENTENCE_END, "\n\n")), r"[^a-z0-9.+\n-]+", " ")
+    return F.regexp_replace(low, r"(?m)^[ .-]+|[ .-]+$|(?<=\bv)\.(?= [0-9])", "")
 
 
 def identifiers(text: Column, sentences: dict[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order; line feeds and stops before white space end sentences."""
-    cut = F.split(F.regexp_replace(text, r"([.;:!?])[ \t]+", "$1\n"), "\n")
-    known = F.array(*[F.lit(s) for s in sentences])
-    names = F.array(*[F.lit(i) for i in sentences.values()])
-    return F.filter(F.transform(cut, lambda s: F.try_element_at(names, F.nullif(F.array_position(known, normal(s)), F.lit(0)).cast("int"))), lambda x: x.isNotNull())
+    """Identifiers of the known sentences of a text, in order; a sentence is one line or several, and the longest known one counts."""
+    longest = sorted(sentences, key=len, reverse=True)
+    known = "|".join("[ \n]".join(re.escape(w) for w in s.split(" ")) for s in longest)
+    found = F.regexp_extract_all(normal_lines(text), F.lit(rf"(?<![^\n])({known})(?![^\n])"), 1)
+    names = F.array(*[F.lit(sentences[s]) for s in longest])
+    place = lambda s: F.array_position(F.array(*[F.lit(k) for k in longest]), F.replace(s, F.lit("\n"), F.lit(" "))).cast("int")
+    return F.transform(found, lambda s: F.element_at(names, place(s)))
 
 
 def match(sequence: Column, rules: list[tuple[str, list[str]]]) -> Column:
@@ -128,11 +139,8 @@ def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
         raise ValueError(f"sentences that the gate would miss: {missed}")
     may = lambda low: F.greatest(F.lit(False), *[F.coalesce(F.contains(low, F.lit(g)), F.lit(False)) for g in gate])
     text = F.when(_let(F.lower("text"), may), F.col("text")).otherwise("")
-    wrapped = lambda t: F.regexp_replace(t, r"([^\n])\n([^\n])", "$1 $2")
-    longer = lambda r: F.when(F.size(r["wrapped"]) > F.size(r["lines"]), r["wrapped"]).otherwise(r["lines"])
-    readings = lambda t: F.struct(identifiers(t, sentences).alias("lines"), identifiers(wrapped(t), sentences).alias("wrapped"))
     result = lambda ids: F.struct(ids.alias("sentence_ids"), match(ids, rules).alias("licences"))
-    found = _let(_let(_let(text, readings), longer), result)
+    found = _let(identifiers(text, sentences), result)
     return docs.select("doc_id", F.inline(F.array(found)))
 
 

@@ -175,6 +175,38 @@ def test_licence_rules(spark):
     ]
 
 
+#: Known sentences as they are published, where capitals, marks and wraps differ from the normal form.
+PUBLISHED = {
+    "apache2-head": 'Licensed under the Apache License, Version 2.0 (the "License");',
+    "apache2-spdx": "// SPDX-License-Identifier: Apache-2.0",
+    "mit-spdx": "/* SPDX-License-Identifier: MIT */",
+    "gpl3-spdx": "# SPDX-License-Identifier: GPL-3.0-only",
+    "gpl3-later-spdx": "-- SPDX-License-Identifier: GPL-3.0-or-later",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.",
+    "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL',
+    "bsd-source": "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+    "bsd-binary": "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "mpl2-head": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+}
+
+
+def test_published_licence_sentences(spark):
+    assert set(PUBLISHED) <= set(licences.SENTENCES.values())
+    want = [(text, [i]) for i, text in PUBLISHED.items()] + [(s.capitalize() + ".", [i]) for s, i in licences.SENTENCES.items()]
+    got = licences.scan_licences(frame(spark, [t for t, _ in want])).orderBy("doc_id").collect()
+    assert [r.sentence_ids for r in got] == [ids for _, ids in want]
+
+
+def test_line_notices_and_wrapped_licences_of_one_text(spark):
+    wrapped = [PUBLISHED["mit-notice"], PUBLISHED["mit-warranty"]]
+    texts = ["\n".join(["# SPDX-License-Identifier: GPL-3.0-only", "Licensed under CC BY 4.0", "All rights reserved", *wrapped]), "\n\n".join(["Copyright (c) Foo", *wrapped, "All rights reserved\nLicensed under CC BY 4.0\nReleased under the MIT license"])]
+    got = licences.scan_licences(frame(spark, texts)).orderBy("doc_id").collect()
+    assert got[0].sentence_ids == ["gpl3-spdx", "cc-by-4", "all-rights", "mit-notice", "mit-warranty"]
+    assert got[1].sentence_ids == ["mit-notice", "mit-warranty", "all-rights", "cc-by-4", "mit-short"]
+    assert got[0].licences == ["MIT", "GPL-3.0-only", "CC-BY-4.0", "Proprietary"]
+
+
 def test_native_plans_run_no_python(spark):
     for query in ("op3_licence_scan", "op5_line_chunk_dedup"):
         plan = registry.QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
