@@ -3,11 +3,13 @@
 Documents fall into cells of (source, language, topic) categories. A category is a value that a target names, or OTHER
 for all values it does not name, so the number of cells is bounded by the targets, which are parameters. The tokens of
 each cell are raked until the weighted tokens meet all three marginals; a document's probability is its cell's weight,
-scaled so that the expected sample is ``budget`` of all tokens and cut at one. A keyed hash of the doc_id decides.
+scaled so that the expected sample is ``budget`` of all tokens. Where that is above one, the cell is taken whole and the
+others are raked again (``bounded_rake``). A keyed hash of the doc_id decides.
 
 Topics, which the tables lack, are kinds of text by its form (``form_topic``); any column can be given instead.
 
-Defined results: nulls in source, language or topic count as OTHER; a null text has no tokens and is sampled with its
+Defined results: nulls in source, language or topic count as OTHER; where the named shares sum to one, OTHER keeps the
+share of tokens that it has in the data, and the named ones share the rest (a target that names OTHER with 0 drops it); a null text has no tokens and is sampled with its
 cell's probability; a row without a doc_id is decided by its text; repeated rows are decided alike; shares of categories
 without tokens go to the others in proportion; targets that no weights can meet are approached until ROUNDS have passed;
 an empty table gives an empty result; other columns, whatever their names, pass through ``sample_documents`` untouched.
@@ -29,7 +31,7 @@ TOLERANCE = 1e-10
 
 Targets = dict[str, dict[str, float]]
 
-#: Targets of production, as shares of tokens; what is left of one goes to OTHER.
+#: Targets of production, as shares of tokens; what is left of one goes to OTHER, or its share in the data if nothing is.
 TARGETS: Targets = {
     "source": {"src0": 0.2},
     "lang": {"en": 0.55, "de": 0.15, "fr": 0.18, "es": 0.12},
@@ -59,6 +61,14 @@ def shares(target: dict[str, float]) -> dict[str, float]:
     return {**target, OTHER: max(rest, 0.0)}
 
 
+def goal_shares(target: dict[str, float], had: float) -> dict[str, float]:
+    """``shares``, but where the named ones leave nothing, OTHER keeps the share of tokens it had and they are scaled to the rest."""
+    out = shares(target)
+    if OTHER in target or out[OTHER] > 1e-9:
+        return out
+    return {**{k: v * (1 - had) for k, v in out.items()}, OTHER: had}
+
+
 def rake(tokens: np.ndarray, marginals: list[np.ndarray]) -> np.ndarray:
     """Weights of cells, one axis a marginal, such that weighted tokens (as shares) have the marginals."""
     seed = tokens / tokens.sum() if tokens.sum() else tokens.astype(float)
@@ -99,6 +109,52 @@ def probabilities(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.
     return np.where(weights > 0, np.minimum(1.0, np.minimum(s, 1e300) * weights), 0.0)
 
 
+def _goals(goal: np.ndarray, room: np.ndarray, total: float) -> np.ndarray:
+    """``total`` dealt in the shares of ``goal``; a category with less room gets what it has, the others the rest in proportion."""
+    out, left = np.zeros_like(room), goal > 0
+    while left.any():
+        dealt = np.where(left, goal, 0.0) / goal[left].sum() * max(total - out[~left].sum(), 0.0)
+        full = left & (dealt >= room)
+        if not full.any():
+            return np.where(left, dealt, out)
+        out[full] = room[full]
+        left &= ~full
+    return out
+
+
+def bounded_rake(tokens: np.ndarray, weights: np.ndarray, marginals: list[np.ndarray], budget: float) -> np.ndarray:
+    """Probabilities of cells, one at most, whose expected tokens are ``budget`` of all and meet the marginals as far as there are tokens.
+
+    Without a cut at one these are the raked weights, scaled. Where cells are taken whole, the others of their category
+    make up for them; a category that has too few tokens is taken whole, and the others share the rest in proportion.
+    """
+    there = (weights > 0) & (tokens > 0)
+    t = np.where(there, tokens, 0).astype(float)
+    p = probabilities(tokens, weights, budget)
+    if not (p[there] >= 1).any():
+        return p
+    free = np.where(there, weights, 0.0)  # a product of one factor a category, before the cut
+    total = min(budget * tokens.sum(), t.sum())
+    axes = range(t.ndim)
+    goals = [_goals(goal, t.sum(axis=tuple(a for a in axes if a != axis)), total) for axis, goal in enumerate(marginals)]
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for axis, goal in enumerate(goals):
+            tt, ff = np.moveaxis(t, axis, 0), np.moveaxis(free, axis, 0)
+            for i, wanted in enumerate(goal):
+                room = tt[i].sum()
+                if room > 0:
+                    worst = max(worst, abs(float((tt[i] * np.minimum(1, ff[i])).sum()) - wanted) / total)
+                    q = probabilities(tt[i], ff[i], wanted / room)
+                    at = np.argmax(np.where((tt[i] > 0) & (q < 1), ff[i], 0.0))
+                    low = np.min(ff[i][tt[i] > 0])
+                    scale = q.flat[at] / ff[i].flat[at] if ((tt[i] > 0) & (q < 1)).any() else 1 / low
+                    ff[i] = np.where(tt[i] > 0, np.clip(ff[i] * scale, 1e-12, 1e12), 0.0)
+        if worst < TOLERANCE:
+            break
+    return probabilities(tokens, free, budget)
+
+
 def _with_cells(docs: DataFrame, targets: Targets, topic: Column | None) -> DataFrame:
     """row (a struct of all columns, so that no name can clash), tokens and the categories source, lang and topic."""
     kind = form_topic(F.col("text"), n_tokens(F.col("text"))) if topic is None else topic
@@ -113,8 +169,12 @@ def calibrate(docs: DataFrame, targets: Targets = TARGETS, budget: float = BUDGE
     tokens = np.zeros([len(names[k]) for k in ("source", "lang", "topic")])
     for s, l, t, n in cells.collect():
         tokens[names["source"].index(s), names["lang"].index(l), names["topic"].index(t)] = n
-    weights = rake(tokens, [np.array([shares(targets[k])[v] for v in names[k]]) for k in ("source", "lang", "topic")])
-    p = probabilities(tokens, weights, budget)
+    marginals = []
+    for axis, k in enumerate(("source", "lang", "topic")):
+        had = tokens.sum(axis=tuple(a for a in range(3) if a != axis))[names[k].index(OTHER)] / max(tokens.sum(), 1)
+        marginals.append(np.array([goal_shares(targets[k], had)[v] for v in names[k]]))
+    weights = rake(tokens, marginals)
+    p = bounded_rake(tokens, weights, marginals, budget)
     return {(s, l, t): (float(weights[i, j, k]), float(p[i, j, k])) for i, s in enumerate(names["source"]) for j, l in enumerate(names["lang"]) for k, t in enumerate(names["topic"])}
 
 

@@ -136,6 +136,31 @@ def test_mixture_by_brute_force(spark):
     assert abs(sum(g.n_tokens * g.probability for g in got.values()) - 0.4 * total) < 1e-6 * total
 
 
+def test_other_languages_are_sampled(spark):
+    langs = ["en", "de", "fr", "es", None, "pt"]
+    rows = [(i, "word " * (120 if i // 6 % 3 else 1200), langs[i % 6], f"src{i // 18 % 4}", 0) for i in range(600)]
+    got = mixing.mixture(spark.createDataFrame(rows, DOCS), budget=0.4).collect()
+    other = [r for r in got if r.lang == mixing.OTHER]
+    had, total = sum(r.n_tokens for r in other), sum(r.n_tokens for r in got)
+    assert len(other) == 200 and all(r.probability > 0 for r in other) and any(r.sampled for r in other)
+    assert abs(sum(r.n_tokens * r.weight for r in other) / total - had / total) < 1e-6
+    with_none = {**mixing.TARGETS, "lang": {**mixing.TARGETS["lang"], mixing.OTHER: 0.0}}
+    assert not any(r.probability for r in mixing.mixture(spark.createDataFrame(rows, DOCS), with_none, 0.4).collect() if r.lang == mixing.OTHER)
+
+
+def test_cells_taken_whole_are_made_up_for():
+    tokens = np.array([[10.0, 200.0], [400.0, 390.0]])
+    marginals = [np.array([0.4, 0.6]), np.array([0.5, 0.5])]
+    weights = mixing.rake(tokens, marginals)
+    assert mixing.probabilities(tokens, weights, 0.4).max() == 1
+    p = mixing.bounded_rake(tokens, weights, marginals, 0.4)
+    share = p * tokens / (0.4 * tokens.sum())
+    assert p.max() <= 1 and np.allclose(share.sum(axis=1), [0.4, 0.6], atol=1e-6) and np.allclose(share.sum(axis=0), [0.5, 0.5], atol=1e-6)
+    short = [np.array([0.8, 0.2]), np.array([0.5, 0.5])]  # the first row has 0.21 of the tokens, so at most 0.525 of the sample
+    share = mixing.bounded_rake(tokens, mixing.rake(tokens, short), short, 0.4) * tokens / (0.4 * tokens.sum())
+    assert np.allclose(share.sum(axis=1), [0.525, 0.475], atol=1e-3) and np.allclose(share.sum(axis=0), [0.5, 0.5], atol=1e-3)
+
+
 # 2
 
 
