@@ -144,7 +144,9 @@ def _flac(b: bytes, at: int) -> Found:
 
 
 def _pdf(b: bytes, at: int) -> Found:
-    end = b.find(b"%%EOF", at)
+    first = b.find(b"%%EOF", at)
+    header = b.find(b"%PDF-", first) if first >= 0 else -1
+    end = b.rfind(b"%%EOF", at, header if header >= 0 else len(b))  # linearised or updated files have several
     return ("application/pdf", end + 5) if end >= 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) >= 0 else None
 
 

@@ -325,6 +325,13 @@ def test_sniffing():
     assert media.sniff(b"BM GIF89a RIFFxxxxWAVE \xff\xd8\xff PK\x03\x04 OggS %PDF-1.4") == []
 
 
+def test_pdf_with_several_sections():
+    part = b"1 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    updated, plain = b"%PDF-1.7\n" + part + b"\n" + part, b"%PDF-1.4\n" + part
+    found = media.sniff(b"ab" + updated + b"\ncd" + plain + b"\n")
+    assert found == [("application/pdf", 2, 2 + len(updated)), ("application/pdf", len(updated) + 5, len(updated) + 5 + len(plain))]
+
+
 def test_media_columns(spark):
     nested = media.to_wave(media.pad(b"text " + png() + b" more"))
     rows = [(1, nested, "image/png"), (2, png(), "image/png"), (3, b"", "text/plain"), (4, None, None), (5, b"plain", None)]
