@@ -9,7 +9,7 @@ point or, once what follows has settled it, began at the one before.
 Pieces are merged by rank, lowest first and leftmost first, and results are cached by piece in each Python worker.
 
 Defined results: a null or empty text has no ids; texts of any length are encoded whole; special tokens are plain text;
-repeated rows give equal rows; other columns, whatever their names, pass through ``encode_documents`` untouched.
+repeated rows (ties) give equal rows; an empty table gives an empty result; other columns, whatever their names, pass through ``encode_documents`` untouched.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import free_name, steps, table
+from .common import free_name, slices, table
 
 #: Classes of code points. Letters that can stand in a contraction ('s 't 'm 'd, 're 've 'll) have classes of their own.
 SINGLE, LETTER_R, LETTER_V, LETTER_L, LETTER_E, LETTER, NUMBER, OTHER, QUOTE, BLANK, SPACE, END = range(12)
@@ -181,9 +181,13 @@ def pieces(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """Ranks of a byte-level BPE, with a cache of merged pieces that is emptied when it is full."""
+    """Ranks of a byte-level BPE, with a cache of merged pieces of SHORT bytes at most.
 
-    CACHED = 500_000
+    The cache has two halves of CACHE_BYTES each: what is not asked for while one half fills is forgotten.
+    """
+
+    CACHE_BYTES = 12_000_000
+    ENTRY_BYTES = 170  # of two bytes objects and their place in a dictionary, beside what they hold
     SHORT = 100
 
     def __init__(self, data: bytes):
@@ -192,6 +196,8 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
     def merge(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
@@ -241,13 +247,21 @@ class Vocabulary:
 
     def packed(self, found: list[bytes]) -> list[bytes]:
         """For each piece its ids as little-endian unsigned 32-bit integers."""
+        long: dict[bytes, bytes] = {}
+        for piece in set(found).difference(self.cache):
+            if (data := self.old.get(piece)) is None:
+                ids = self.merge(piece)
+                data = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) > self.SHORT:
+                long[piece] = data
+            else:
+                self.cache[piece] = data
+                self.held += len(piece) + len(data) + self.ENTRY_BYTES
         cache = self.cache
-        if len(cache) > self.CACHED:
-            cache.clear()
-        for piece in set(found).difference(cache):
-            ids = self.merge(piece)
-            cache[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return [cache[p] for p in found]
+        out = [cache.get(p) or long[p] for p in found] if long else [cache[p] for p in found]
+        if self.held > self.CACHE_BYTES:
+            self.old, self.cache, self.held = self.cache, {}, 0
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -268,16 +282,19 @@ def read_vocabulary(path: str | None = None) -> bytes:
         return f.read()
 
 
+#: Bytes of text of one step.
+STEP = 400_000
+
+
 def encode(texts: list[str | None], vocab: Vocabulary) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
     """For each text its packed ids, and of each piece the byte offset and the number of ids."""
-    for a, z in steps(texts):
-        found, counts, offsets = pieces([t or "" for t in texts[a:z]])
-        packed = vocab.packed(found)
-        n_ids = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        at = 0
-        for n in counts.tolist():
-            yield b"".join(packed[at : at + n]), offsets[at : at + n], n_ids[at : at + n]
-            at += n
+    found, counts, offsets = pieces([t or "" for t in texts])
+    packed = vocab.packed(found)
+    n_ids = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    at = 0
+    for n in counts.tolist():
+        yield b"".join(packed[at : at + n]), offsets[at : at + n], n_ids[at : at + n]
+        at += n
 
 
 def decode_slice(ids: bytes, offsets: np.ndarray, n_ids: np.ndarray, vocab: Vocabulary, start: int, stop: int) -> bytes:
@@ -300,8 +317,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
         for batch in batches:
-            packed = [x[0] for x in encode(batch.column(at).to_pylist(), vocab)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary()), pa.array([len(x) // 4 for x in packed], pa.int64())], names=[*batch.schema.names, ids, count])
+            for a, z, texts in slices(batch.column(at), STEP):
+                packed = [x[0] for x in encode(texts, vocab)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, z - a).columns, pa.array(packed, pa.binary()), pa.array([len(x) // 4 for x in packed], pa.int64())], names=[*batch.schema.names, ids, count])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())]))
 
@@ -314,10 +332,11 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         vocab = vocabulary(shared.value)
         for batch in batches:
             n, of_ids, of_bytes = [], [], []
-            for packed, _, _ in encode(batch.column(1).to_pylist(), vocab):
-                n.append(len(packed) // 4)
-                of_ids.append(hashlib.sha256(packed).hexdigest())
-                of_bytes.append(hashlib.sha256(vocab.decode(np.frombuffer(packed, "<u4"))).hexdigest())
+            for _, _, texts in slices(batch.column(1), STEP):
+                for packed, _, _ in encode(texts, vocab):
+                    n.append(len(packed) // 4)
+                    of_ids.append(hashlib.sha256(packed).hexdigest())
+                    of_bytes.append(hashlib.sha256(vocab.decode(np.frombuffer(packed, "<u4"))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

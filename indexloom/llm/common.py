@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a maximal run of code points other than space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Code points that one vectorised step works on at most, unless a single text is longer.
-STEP_CHARS = 1_500_000
+#: Bytes of text that one vectorised step works on at most, unless a single text is longer.
+STEP_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def steps(texts: list[str | None], chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts hold about ``chars`` code points; each row is in one range."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        total += len(text or "")
-        if total >= chars:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+@functools.cache
+def _trim() -> object:
+    """glibc's malloc_trim; None where the C library has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which allocators else keep for as long as a worker is reused."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+def slices(column: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int, int, list]]:
+    """(start, stop, values) of runs of rows of about ``size`` bytes; each row is in one run, and only one run's values are held as Python objects."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        base = ends[start - 1] if start else 0
+        stop = min(max(int(np.searchsorted(ends, base + size)), start) + 1, len(column))
+        yield start, stop, column.slice(start, stop - start).to_pylist()
+        start = stop
+    give_back()
 
 
 def split_words(texts: Iterable[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -67,16 +84,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint_dir(spark: SparkSession, default: str = "/tmp/indexloom-checkpoints") -> str:
-    """The shared folder in spark.checkpoint.dir; where it is unset, as in tests, a default is set."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster has to name one."""
     sc = spark.sparkContext
-    if (path := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        path = default
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
+        path = _local_folder()
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 #: Set while a cut runs: its shuffle files go when its rows are written, not when the driver next collects its garbage.
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, split_words, steps, table
+from .common import cut, give_back, mix64, slices, split_words, table
 from .components import components
 
 SHINGLE = 5
@@ -120,9 +120,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, z in steps(texts):
-            doc, h, weight = multisets(texts[a:z])
+        for a, z, texts in slices(batch.column(1)):
+            doc, h, weight = multisets(texts)
             keys = band_keys(bag_min_hash(doc, h, weight, z - a, bands * rows), bands, rows)
             some = np.flatnonzero(np.bincount(doc, minlength=z - a))
             offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands)
@@ -153,6 +152,7 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
             if least >= similarity * most:
                 keep.append(i)
         yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["u", "v"])
+        give_back()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -165,9 +165,8 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The k-th occurrence of a shingle is an element of its own, so that sets of elements overlap as multisets do."""
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for a, z in steps(texts):
-            doc, h, weight = multisets(texts[a:z])
+        for a, z, texts in slices(batch.column(2)):
+            doc, h, weight = multisets(texts)
             of = np.repeat(np.arange(len(h)), weight)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(weight) - weight, weight)
             size = np.bincount(doc[of], minlength=z - a)
