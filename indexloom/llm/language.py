@@ -6,9 +6,11 @@ score for a language is the log-likelihood of its features. Languages that hardl
 candidates for it. Along a text, Viterbi's algorithm picks the labels with the best sum of scores less PENALTY for each
 switch, which gives spans; the text's language is the one with the most words. All texts of a step advance together.
 
-Defined results: words are maximal runs outside ASCII white space, lower-cased, of which only letters count; a text that
-is null or has no letter is ``und`` with score 0; ties go to the language that sorts first; texts of any length are read
-whole; without any training row every text is ``und``; an empty table gives an empty result.
+Defined results: words are maximal runs outside ASCII white space, lower-cased, of which only letters (general category L)
+and the marks after them count; words without a letter join the span they stand in; a text that is null or has no letter
+is ``und`` with score 0 and no spans; ties go to the language that sorts first; repeated rows get equal predictions; texts
+of any length are read whole; without any training row every text is ``und``; an empty table gives an empty result; only
+doc_id and text are read, so that no other column, whatever its name, plays a part.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import split_words, steps, table
+from .common import WORD, slices, split_words, table
 
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 512
@@ -33,7 +36,7 @@ SMOOTHING = 0.5
 #: A language is a candidate for a script that holds this share of its training words.
 SCRIPT_SHARE = 0.001
 NEVER = -60.0
-STEP_CHARS = 6_000_000
+STEP_BYTES = 4_000_000
 UNKNOWN = "und"
 
 # First code points of ranges, and the script of each.
@@ -46,7 +49,15 @@ RANGES = [
 ]
 SCRIPTS = sorted({s for _, s in RANGES})
 _STARTS, _SCRIPT = [a for a, _ in RANGES], [SCRIPTS.index(s) for _, s in RANGES]
-_NOT_LETTER = re.compile(r"[\W\d_]+")
+
+
+def letters_of(word: str) -> str:
+    """The letters of a word, with the marks that follow one."""
+    if word.isalpha():
+        return word
+    kept = "".join(c for c in word if c.isalpha() or unicodedata.category(c)[0] == "M")
+    first = next((i for i, c in enumerate(kept) if c.isalpha()), len(kept))
+    return kept[first:]
 
 
 def script(letter: str) -> int:
@@ -60,7 +71,7 @@ class Words:
         raw, self.counts = split_words(texts)
         known = {w: i for i, w in enumerate(dict.fromkeys(raw))}
         self.at = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
-        letters = [_NOT_LETTER.sub("", w.decode("utf-8", "surrogatepass").lower()) for w in known]
+        letters = [letters_of(w.decode("utf-8", "surrogatepass").lower()) for w in known]
         self.script = np.array([script(w[0]) if w else -1 for w in letters], np.int64)
         points = np.frombuffer(("  ".join(["", *letters, ""])).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         size = np.array([len(w) for w in letters], np.int64)
@@ -113,7 +124,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, counts: np.ndarray, penalty: flo
     labels = np.zeros(len(at), np.int16)
     if not len(at):
         return labels
-    stays = np.zeros((len(at), scores.shape[1]), bool)
+    stays = np.zeros((len(at), -(-scores.shape[1] // 8)), np.uint8)  # a bit for each language
     came = np.zeros(len(at), np.int16)
     alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # texts with more than t occurrences
     v = scores[at[first[: alive[0]]]]
@@ -129,7 +140,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, counts: np.ndarray, penalty: flo
         top = v[np.arange(k), best][:, None] - penalty
         i = first[:k] + t
         stay = v >= top
-        stays[i], came[i] = stay, best
+        stays[i], came[i] = np.packbits(stay, axis=1), best
         v = np.where(stay, v, top) + scores[at[i]]
     now = np.zeros(len(counts), np.int16)
     for t in range(size[0] - 1, -1, -1):
@@ -138,7 +149,8 @@ def viterbi(scores: np.ndarray, at: np.ndarray, counts: np.ndarray, penalty: flo
         now[fresh:k] = finals[fresh:k]
         i = first[:k] + t
         labels[i] = now[:k]
-        now[:k] = np.where(stays[i, now[:k]], now[:k], came[i])
+        stay = stays[i, now[:k] >> 3] >> (7 - (now[:k] & 7)) & 1
+        now[:k] = np.where(stay, now[:k], came[i])
     return labels
 
 
@@ -147,13 +159,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        by: dict[str, list] = {}
-        for lang, text in zip(langs, texts, strict=True):
-            by.setdefault(lang, []).append(text)
-        for lang, own in by.items():
-            for a, z in steps(own):
-                w = Words(own[a:z])
+        for a, z, texts in slices(batch.column(1)):
+            by: dict[str, list] = {}
+            for lang, text in zip(batch.column(0).slice(a, z - a).to_pylist(), texts, strict=True):
+                by.setdefault(lang, []).append(text)
+            for lang, own in by.items():
+                w = Words(own)
                 times = np.bincount(w.at, minlength=len(w.n))
                 features.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 features[lang] += np.bincount(w.bucket, weights=times[w.word], minlength=BUCKETS).astype(np.int64)
@@ -182,41 +193,50 @@ def train(rows: DataFrame) -> Model:
     return Model(languages, np.log(features / features.sum(axis=0)).astype(np.float32), share >= SCRIPT_SHARE)
 
 
-def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text the label of each word, and whether the word has a letter."""
-    for a, z in steps(texts, STEP_CHARS):
-        words = Words(texts[a:z])
-        labels = viterbi(model.scores(words), words.at, words.counts, penalty)
-        lettered = (words.n > 0)[words.at]
-        cuts = np.cumsum(words.counts)[:-1]
-        yield from zip(np.split(labels, cuts), np.split(lettered, cuts), strict=True)
+def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The label of each word of all texts, whether it has a letter, and the number of words of each text."""
+    words = Words(texts)
+    return viterbi(model.scores(words), words.at, words.counts, penalty), (words.n > 0)[words.at], words.counts
+
 
+def _spans(text: str, labels: np.ndarray, languages: list[str]) -> list[tuple[int, int, str]]:
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(labels)) + 1)).tolist()
+    begins = [m.start() for m in re.finditer(WORD, text)] if len(edges) > 1 else [0]
+    starts = [0, *(begins[e] for e in edges[1:])]
+    return [(a, z, languages[labels[e]]) for a, z, e in zip(starts, [*starts[1:], len(text)], edges, strict=True)]
 
-def spans(text: str | None, model: Model, penalty: float = PENALTY) -> list[tuple[int, int, str]]:
-    """(first word, last word + 1, language) of each span of a text."""
-    labels, _ = next(iter(label([text], model, penalty)))
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(labels)) + 1, [len(labels)]))
-    return [(int(a), int(z), model.languages[labels[a]]) for a, z in zip(edges[:-1], edges[1:], strict=True) if a < z]
+
+def spans(text: str, model: Model, penalty: float = PENALTY) -> list[tuple[int, int, str]]:
+    """(start, stop, language) of each span of a text that has a letter, in code points; spans cover the text."""
+    labels, lettered, _ = label([text], model, penalty)
+    return _spans(text, labels, model.languages) if lettered.any() else []
 
 
 def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
-    """``doc_id``, lang_pred, score (the share of lettered words that it labels) and n_spans; only text is an input of a prediction."""
+    """``doc_id``, lang_pred, score (the share of lettered words that it labels), n_spans and spans; only text is an input of a prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    item = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
+        n = max(len(m.languages), 1)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            names, score, n_spans = [], [], []
-            for labels, lettered in label(texts, m, penalty) if m.languages else (((np.zeros(0, int), np.zeros(0, bool)),) * len(texts)):
-                votes = np.bincount(labels[lettered], minlength=len(m.languages))
-                total = int(votes.sum())
-                names.append(m.languages[int(votes.argmax())] if total else UNKNOWN)
-                score.append(float(votes.max() / total) if total else 0.0)
-                n_spans.append(int((np.diff(labels) != 0).sum()) + 1 if total else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(n_spans, pa.int64())], names=["doc_id", "lang_pred", "score", "n_spans"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_spans bigint")
+            for a, z, texts in slices(batch.column(1), STEP_BYTES):
+                if m.languages:
+                    labels, lettered, counts = label(texts, m, penalty)
+                else:
+                    labels, lettered, counts = np.zeros(0, np.int16), np.zeros(0, bool), np.zeros(len(texts), np.int64)
+                of = np.repeat(np.arange(len(texts)), counts)
+                votes = np.bincount(of[lettered] * n + labels[lettered], minlength=len(texts) * n).reshape(-1, n)
+                total, most = votes.sum(axis=1), votes.max(axis=1)
+                names = [m.languages[j] if t else UNKNOWN for j, t in zip(votes.argmax(axis=1).tolist(), total.tolist(), strict=True)]
+                own = np.split(labels, np.cumsum(counts)[:-1])
+                found = [[{"start": s, "stop": e, "lang": x} for s, e, x in _spans(t, w, m.languages)] if k else [] for t, w, k in zip(texts, own, total.tolist(), strict=True)]
+                columns = [pa.array(names, pa.string()), pa.array(most / np.maximum(total, 1)), pa.array([len(f) for f in found], pa.int64()), pa.array(found, item)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), *columns], names=["doc_id", "lang_pred", "score", "n_spans", "spans"])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_spans bigint, spans array<struct<start:int,stop:int,lang:string>>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,4 +244,4 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = train(docs.where(F.coalesce(~held_out, F.lit(True))))
     out = predict(docs, model)
-    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_spans")
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_spans", "spans")
