@@ -174,10 +174,27 @@ def test_repeat_words_by_brute_force():
         assert n == len({p for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for p in range(i, i + 8)})
 
 
+def test_rules_are_ordered_by_what_the_earlier_ones_let_pass(spark):
+    rules = tuple(quality.Rule(name, lambda b, words=words: np.array([t in words for t in b.texts])) for name, words in (("a", "xyz"), ("b", "xy"), ("c", "w")))
+    order = quality.order_rules(frame(spark, ["x", "y", "z", "w", "v"] * 20), rules)
+    share = {r.name: s for r, _, s in order}
+    assert order[0][0].name in "abc" and sum(share.values()) == 0.8 and share["c"] == 0.2  # a text is rejected once
+
+
+def test_narrowed_batches_equal_fresh_ones():
+    texts = ["a b a", "", "c", "a a a b"]
+    b = quality.Batch(texts)
+    assert b.ids.tolist() == [0, 1, 0, 2, 0, 0, 0, 1]
+    part = b.narrow(np.array([True, False, False, True]))
+    assert part.texts == [texts[0], texts[3]] and part.n_words.tolist() == [3, 4] and part.ids.tolist() == [0, 1, 0, 0, 0, 0, 1]
+
+
 def test_order_of_rules_changes_no_verdict(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ODD
     rules = list(quality.RULES)
     assert (quality.cascade(texts, rules) == quality.cascade(texts, rules[::-1])).all()
+    kept = [r.doc_id for r in quality.filter_documents(frame(spark, texts)).collect()]
+    assert kept == np.flatnonzero(quality.judge(texts, rules)["kept"]).tolist()
     order = quality.order_rules(frame(spark, texts))
     gain = [share / max(cost, 1e-9) for _, cost, share in order]
     assert gain == sorted(gain, reverse=True)
@@ -267,6 +284,38 @@ def test_passages_of_rows_that_share_an_id(spark):
     assert substrings.passages(frame(spark, [text, text], [1, None])).collect()[0].kept_doc_id == 1
 
 
+def test_passages_set_into_the_middle_of_sentences(spark):
+    """Every later copy of a passage of 51 words or more is found to within the words at its ends, and no other text is touched."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7)))
+    prose = lambda n: [word() + (rnd.choice([".", "!", ","]) if rnd.random() < 0.1 else "") for _ in range(n)]
+    texts, planted = [], {}
+    for k in range(60):
+        passage = prose(rnd.randint(51, 90)) if k % 4 else [word()] * 3 + [word() for _ in range(55)]
+        for copy in range(3):
+            before, after = prose(rnd.randint(0, 60)), prose(rnd.randint(0, 60))
+            if copy:
+                planted[len(texts)] = (len(before), len(before) + len(passage))
+            texts.append((" " if k % 3 else "\n").join([*before, *passage, *after]))
+    texts += [" ".join(prose(200)) for _ in range(60)]
+    found = {}
+    for r in substrings.passages(frame(spark, texts)).collect():
+        a = len(texts[r.doc_id][: r.start].split())
+        found.setdefault(r.doc_id, set()).update(range(a, a + r.n_words))
+    assert not set(found) - set(planted)
+    caught = [i for i, (a, z) in planted.items() if len(found.get(i, set()) & set(range(a, z))) >= 50]
+    assert len(caught) / len(planted) > 0.95
+    assert all(a - 3 <= min(found[i]) and max(found[i]) < z + 3 for i, (a, z) in planted.items() if i in found)
+
+
+def test_what_repeats_within_one_text_stays(spark):
+    rnd = random.Random(14)
+    line = sentence(rnd, 30)
+    assert substrings.passages(frame(spark, ["\n".join([line] * 9), sentence(rnd, 80)])).count() == 0
+    copies = substrings.passages(frame(spark, ["\n".join([line] * 9), "\n".join([line] * 9), " ".join(["word"] * 300), " ".join(["word"] * 300)])).collect()
+    assert sorted((r.doc_id, r.start, r.n_words, r.kept_doc_id) for r in copies) == [(1, 0, 270, 0), (3, 0, 300, 2)]
+
+
 # 5
 
 
@@ -374,6 +423,63 @@ def test_viterbi_by_brute_force():
         first += n
 
 
+def test_letters():
+    assert language.letters_of("²½③ⅷ_12!") == "" and language.letters_of("हिन्दी,") == "हिन्दी" and language.letters_of("\u0301a\u0301-b") == "a\u0301b"
+
+
+def test_whole_query_by_brute_force(spark):
+    """Counts, scores, paths and votes worked out again, a word at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+    words = lambda t: [language.letters_of(w.lower()) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    features = lambda w: [*(f" {w} "[i : i + 3] for i in range(len(w))), ("whole", w)]
+    names = sorted({r.lang for r in docs if r.lang and r.text is not None and not held(r)})
+    known = {f: Counter() for f in names}
+    bucket = {}
+    for w in {w for r in docs for w in words(r.text) if w}:
+        made = language.Words([w])
+        for f, b in zip(features(w), made.bucket.tolist(), strict=True):
+            assert bucket.setdefault(f, b) == b  # a feature has one bucket, whatever the word
+    scripts = {n: Counter() for n in names}
+    for r in docs:
+        if r.lang and r.text is not None and not held(r):
+            for w in words(r.text):
+                if w:
+                    known[r.lang].update(bucket[f] for f in features(w))
+                    scripts[r.lang][language.script(w[0])] += 1
+    total = {n: sum(c.values()) + language.SMOOTHING * language.BUCKETS for n, c in known.items()}
+    memo = {}
+
+    def scores(w):
+        if w not in memo:
+            raw = [sum(np.log((known[n][bucket[f]] + language.SMOOTHING) / total[n]) for f in features(w)) for n in names]
+            may = [scripts[n][language.script(w[0])] >= language.SCRIPT_SHARE * sum(scripts[n].values()) for n in names]
+            memo[w] = np.array([x + (0 if m else language.NEVER) for x, m in zip(raw, may, strict=True)]) if any(may) else np.zeros(len(names))
+        return memo[w]
+
+    got = {r.doc_id: r for r in language.op7_language_id(spark, SF).collect()}
+    for r in docs:
+        own = words(r.text)
+        assert got[r.doc_id].held_out == held(r)
+        if not any(own):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score, got[r.doc_id].spans) == ("und", 0, [])
+            continue
+        v, back = np.zeros(len(names)), []
+        for k, w in enumerate(own):
+            if k:
+                best = int(v.argmax())
+                back.append([j if v[j] >= v[best] - language.PENALTY else best for j in range(len(names))])
+                v = np.maximum(v, v[best] - language.PENALTY)
+            v = v + (scores(w) if w else 0)
+        path = [int(v.argmax())]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        votes = Counter(names[j] for j, w in zip(path[::-1], own, strict=True) if w)
+        assert abs(votes[got[r.doc_id].lang_pred] - max(votes.values())) <= 1 and abs(got[r.doc_id].score - max(votes.values()) / sum(votes.values())) < 0.05
+        spans = got[r.doc_id].spans
+        assert spans[0].start == 0 and spans[-1].stop == len(r.text) and all(a.stop == b.start for a, b in zip(spans, spans[1:], strict=False)) and len(spans) == got[r.doc_id].n_spans
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
     got = language.op7_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect()
@@ -388,8 +494,9 @@ def test_spans_scripts_and_unknown(spark):
     model = language.train(spark.createDataFrame(rows, DOCS))
     text = "the dog sat on the mat and the cat " + "der hund und die katze sind nicht hier " * 2 + "собака сидит на окне и кошка спит"
     assert [s[2] for s in language.spans(text, model)] == ["en", "de", "ru"]
-    got = {r.doc_id: r for r in language.predict(frame(spark, [None, "", "12 !!", "окне", "1 the 2"]), model).collect()}
-    assert [got[i].lang_pred for i in range(5)] == ["und", "und", "und", "ru", "en"] and got[2].score == 0
+    got = {r.doc_id: r for r in language.predict(frame(spark, [None, "", "12 !!", "окне", "1 the 2", "² ½ ③"]), model).collect()}
+    assert [got[i].lang_pred for i in range(6)] == ["und", "und", "und", "ru", "en", "und"] and got[2].score == 0
+    assert "".join(text[a:z] for a, z, _ in language.spans(text, model)) == text
     nothing = language.train(spark.createDataFrame([(0, "x", None, "s", 0), (1, None, "en", "s", 0)], DOCS))
     assert language.predict(frame(spark, ["the"]), nothing).first().lang_pred == "und"
 
