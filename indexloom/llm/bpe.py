@@ -186,7 +186,7 @@ class Vocabulary:
     The cache has two halves of CACHE_BYTES each: what is not asked for while one half fills is forgotten.
     """
 
-    CACHE_BYTES = 12_000_000
+    CACHE_BYTES = 30_000_000
     ENTRY_BYTES = 170  # of two bytes objects and their place in a dictionary, beside what they hold
     SHORT = 100
 
