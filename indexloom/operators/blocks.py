@@ -1,7 +1,8 @@
 """Running values in two steps, so that a key with very many rows does not end in one task.
 
 Rows are ordered by (o1, o2). The range of o1 is cut into blocks; windows run within a key's block, and a second, short
-window runs over one summary row for each key and block.
+window runs over one summary row for each key and block. The rows are dealt by key and block and written once, so that
+summaries and windows read them from there without another shuffle, and no plan holds its input twice.
 """
 
 from __future__ import annotations
@@ -9,9 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import cut
+
 #: Values of o1 that a block spans.
 BLOCK = 1 << 16
 
+#: Blocks that one window over summaries spans; beyond that the summaries are blocked in turn.
+WIDE = 1 << 12
+
 MAX, LAST, SUM = "max", "last", "sum"
 
 
@@ -36,9 +42,16 @@ def running(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, Column]],
     the key before a row (with ``before``), or up to it. Names start out null, sums at 0."""
     keys = [*by, "__block"]
     blocked = df.select("*", F.floor(F.col("o1") / block).alias("__block"), *[c.alias(f"__{n}") for n, (_, c) in wanted.items()])
-    earlier = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocked = cut(blocked.repartition(*keys))
     summaries = blocked.groupBy(*keys).agg(*[_summary(k, F.col(f"__{n}")).alias(f"__{n}") for n, (k, _) in wanted.items()])
-    carried = summaries.select(*keys, *[_over(k, F.col(f"__{n}"), earlier).alias(f"__{n}_carried") for n, (k, _) in wanted.items()])
+    low, high = blocked.agg(F.min("__block"), F.max("__block")).first()
+    if low is not None and high - low > WIDE:
+        above = summaries.select(*keys, F.col("__block").alias("o1"), F.lit(0).alias("o2"), *[f"__{n}" for n in wanted])
+        carried = running(above.withColumnRenamed("__block", "__b"), by, {f"{n}_carried": (k, F.col(f"__{n}")) for n, (k, _) in wanted.items()}, block=WIDE)
+        carried = carried.select(*by, F.col("__b").alias("__block"), *[F.col(f"{n}_carried").alias(f"__{n}_carried") for n in wanted])
+    else:
+        earlier = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = summaries.select(*keys, *[_over(k, F.col(f"__{n}"), earlier).alias(f"__{n}_carried") for n, (k, _) in wanted.items()])
     within = Window.partitionBy(*keys).orderBy("o1", "o2").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     own = blocked.select("*", *[_over(k, F.col(f"__{n}"), within).alias(f"__{n}_own") for n, (k, _) in wanted.items()])
     return own.join(carried, keys).select(*df.columns, *[_both(k, F.col(f"__{n}_own"), F.col(f"__{n}_carried")).alias(n) for n, (k, _) in wanted.items()])

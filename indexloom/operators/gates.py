@@ -40,17 +40,16 @@ def report(ticks: DataFrame) -> DataFrame:
 
 def buffer_unbounded(ticks: DataFrame) -> DataFrame:
     """Ticks beyond a hole wait without limit until it is filled. For sequences above 0."""
-    by = Window.partitionBy("instrument_id")
-    first = F.min_by("sequence", "arrival").over(by)
+    first = ticks.groupBy("instrument_id").agg(F.min_by("sequence", "arrival").alias("first"))
     copy = F.row_number().over(Window.partitionBy("instrument_id", "sequence").orderBy("arrival"))
-    marked = ticks.withColumn("first", first).withColumn("copy", copy)
-    valid = (F.col("copy") == 1) & (F.col("sequence") >= F.col("first"))
-    ordered = Window.partitionBy("instrument_id", "valid").orderBy("sequence")
-    placed = marked.withColumn("valid", valid).withColumn("place", F.row_number().over(ordered)).withColumn("filled", F.max("arrival").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = ticks.join(first, "instrument_id").withColumn("copy", copy)
+    placed = marked.withColumn("valid", (F.col("copy") == 1) & (F.col("sequence") >= F.col("first"))).withColumn("o1", F.col("sequence")).withColumn("o2", F.col("arrival"))
+    valid = {"place": (blocks.SUM, F.col("valid").cast("bigint")), "filled": (blocks.MAX, F.when(F.col("valid"), F.col("arrival")))}
+    placed = blocks.running(placed, ["instrument_id"], valid, before=False)
     whole = F.col("valid") & (F.col("sequence") - F.col("first") == F.col("place") - 1)
     status = F.when(~F.col("valid"), DUPLICATE).when(whole & (F.col("filled") == F.col("arrival")), ACCEPTED).when(whole, RECOVERED).otherwise(PENDING)
-    out = placed.withColumn("status", status)
-    return out.withColumn("o1", F.when(whole, F.col("filled"))).withColumn("o2", F.when(whole, F.col("sequence"))).drop("first", "copy", "valid", "place", "filled")
+    out = placed.select("*", status.alias("status"), F.when(whole, F.col("filled")).alias("__o1"), F.when(whole, F.col("sequence")).alias("__o2"))
+    return out.select(*ticks.columns, "status", F.col("__o1").alias("o1"), F.col("__o2").alias("o2"))
 
 
 class Ruling(NamedTuple):

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from . import gates, index_values
+from .durable import cut
 
 
 def _last(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -47,14 +48,14 @@ def snapshot(gated: DataFrame, constituents: DataFrame, offsets: DataFrame | Non
     ``gated`` has all ticks with their order of application; ``offsets`` (partition, offset) is what has been consumed.
     An index has few constituents, so its arrays are short.
     """
-    applied = gates.applied(gated)
-    fresh = index_values.stale_gate(index_values.fan_out(applied, constituents)).where("NOT stale")
+    applied = cut(index_values.judge(gates.applied(gated)))  # read three times
+    fresh = index_values.fan_out(applied.where("NOT stale"), constituents)
     slots = fresh.groupBy("index_id", "instrument_id").agg(F.max_by("price_e8", F.struct("o1", "o2")).alias("price"), F.max("exchange_ts_nanos").alias("ts"))
     last = applied.groupBy("instrument_id").agg(F.max("sequence").alias("last"))
     all_slots = constituents.select("index_id", "instrument_id", "weight_e8", "initial_price_e8").join(slots, ["index_id", "instrument_id"], "left").join(last, "instrument_id", "left")
     slot = F.struct("instrument_id", F.coalesce("price", "initial_price_e8").alias("price"), "weight_e8", F.coalesce("ts", F.lit(0)).alias("ts"), F.coalesce("last", F.lit(-1)).alias("last"))
     arrays = all_slots.groupBy("index_id").agg(F.array_sort(F.collect_list(slot)).alias("s"))
-    out = arrays.join(index_values.latest_values(applied, constituents), "index_id").join(index_values.base_values(constituents).select("index_id", "divisor"), "index_id")
+    out = arrays.join(index_values.judged_values(applied, constituents), "index_id").join(index_values.base_values(constituents).select("index_id", "divisor"), "index_id")
     out = out.select("index_id", "sequence", "value_e8", "divisor", F.col("s.instrument_id").alias("instrument_ids"), F.col("s.price").alias("latest_prices_e8"), F.col("s.weight_e8").alias("weights_e8"), F.col("s.ts").alias("last_timestamp_nanos"), F.col("s.last").alias("last_sequences"), "timestamp_nanos")
     if offsets is None:
         return out.withColumn("partition_offsets", F.array().cast(T.ArrayType(T.LongType())))
@@ -70,7 +71,8 @@ def restored_values(snapshots: DataFrame, ticks: DataFrame) -> DataFrame:
     """
     slots = snapshots.select("index_id", F.inline(F.arrays_zip(F.col("instrument_ids").alias("instrument_id"), F.col("latest_prices_e8").alias("initial_price_e8"), F.col("weights_e8").alias("weight_e8"), F.col("last_timestamp_nanos").alias("last_ts"), F.col("last_sequences").alias("last_sequence"))))
     routed = ticks.join(slots.where("weight_e8 <> 0"), "instrument_id").where("sequence > last_sequence AND exchange_ts_nanos >= last_ts")
-    moved = index_values.changes(index_values.stale_gate(routed).where("NOT stale")).groupBy("index_id").agg(F.sum("delta_e8").alias("sum_e8"), F.count("*").alias("n"))
+    by = ("index_id", "instrument_id")
+    moved = index_values.changes(index_values.previous_prices(index_values.stale_gate(routed, by), by)).where("NOT stale").groupBy("index_id").agg(F.sum("delta_e8").alias("sum_e8"), F.count("*").alias("n"))
     out = snapshots.select("index_id", "sequence", "value_e8", "divisor").join(moved, "index_id", "left")
     out = out.withColumn("value_e8", (F.col("value_e8") + F.coalesce("sum_e8", F.lit(0))).cast("bigint")).withColumn("sequence", F.col("sequence") + F.coalesce("n", F.lit(0)))
     return out.select("index_id", "sequence", "value_e8", fixed.level(F.col("value_e8"), F.col("divisor")).alias("level_e8"))

@@ -50,6 +50,6 @@ def faulty_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.col("event") % 41 == 0
     ticks = ticks.withColumn("exchange_ts_nanos", F.when(old, F.col("exchange_ts_nanos") - HOURS_3).otherwise(F.col("exchange_ts_nanos")))
     ticks = ticks.withColumn("flags", F.when(old & (F.col("event") % 2 == 0), fixed.TRADE | fixed.STALE).otherwise(fixed.TRADE).cast("tinyint"))
-    late = ticks.withColumn("arrival", F.when(F.col("event") % 31 == 0, (F.col("event") + 40) * 4 + 1).otherwise(F.col("arrival")))
-    again = ticks.where("event % 97 = 0").withColumn("arrival", F.col("event") * 4 + 2)
-    return late.unionByName(again).select(*COLUMNS)
+    late = F.when(F.col("event") % 31 == 0, (F.col("event") + 40) * 4 + 1).otherwise(F.col("arrival"))
+    arrivals = F.when(F.col("event") % 97 == 0, F.array(late, F.col("event") * 4 + 2)).otherwise(F.array(late))  # the second is the tick sent again
+    return ticks.withColumn("arrival", F.explode(arrivals)).select(*COLUMNS)

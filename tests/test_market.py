@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from indexloom.functions import codec, fixed, wire
-from indexloom.operators import actions, gates, index_values, latest, metrics, refdata
+from indexloom.operators import actions, blocks, gates, index_values, latest, metrics, refdata
 from indexloom.plans import market
 from indexloom.sources import catalog, synthetic
 
@@ -41,6 +41,25 @@ def test_oracle(spark, name):
     assert as_set(got.columns, [tuple(r) for r in got.collect()]) == as_set(columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["index_value_path", "latest_upsert", "corporate_action_path", "snapshot_slots", "counters", "restore_replay"])
+def test_plans_do_not_multiply(spark, name):
+    """However many running values are stacked, a plan reads its input a few times at most."""
+    plan = market.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") <= 12 and plan.count("Scan parquet") <= 4
+
+
+def test_running_values_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "WIDE", 3)
+    rnd = random.Random(3)
+    rows = [(k, o1, o2, rnd.choice([None, rnd.randrange(100)])) for k in (1, 2) for o1 in range(0, 60, 2) for o2 in (0, 1)]
+    wanted = {"top": (blocks.MAX, F.col("v")), "latest": (blocks.LAST, F.col("v")), "total": (blocks.SUM, F.col("v"))}
+    got = blocks.running(spark.createDataFrame(rows, "k int, o1 long, o2 int, v int"), ["k"], wanted, block=2).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        before = [v for k, o1, o2, v in rows if k == r.k and (o1, o2) < (r.o1, r.o2) and v is not None]
+        assert (r.top, r.latest, r.total) == (max(before, default=None), before[-1] if before else None, sum(before))
+
+
 def test_restore_replay_above_100_000_events(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.withColumn("event_id", F.col("event_id") * 150).write.parquet(str(tmp_path / "events.parquet"))
