@@ -11,8 +11,9 @@ blanks in ``SPDX-License-Identifier: MIT`` and ``v. 2.0`` end no sentence. Texts
 has one of are not cut at all, which changes no result.
 
 Defined results: a null or empty text has no identifiers and no licences; unknown sentences are passed over; repeated
-sentences are matched each; every row of the input gives one row; texts of any length are read whole; an empty table
-gives an empty result.
+sentences are matched each; where several rules match at one place (ties) the one that stands first in RULES takes it;
+every row of the input gives one row; texts of any length are read whole; an empty table gives an empty result; only
+doc_id and text are read, so that no other column, whatever its name, plays a part.
 """
 
 from __future__ import annotations
@@ -59,14 +60,81 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "this source code form is subject to the terms of the mozilla public license v 2.0": "mpl2-head",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-unless",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
+    "this library is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "see the gnu affero general public license for more details": "agpl-see",
+    "you should have received a copy of the gnu lesser general public license along with this library": "lgpl-copy",
+    "you should have received a copy of the gnu lesser general public license along with this program": "lgpl-copy",
+    "you should have received a copy of the gnu affero general public license along with this program": "agpl-copy",
+    "either version 2 of the license or at your option any later version": "version2-later",
+    "either version 2.1 of the license or at your option any later version": "version2.1-later",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl-2.0": "epl2-head",
+    "this software is provided as-is without any express or implied warranty": "zlib-warranty",
 }
 
+# The licences that notices such as "This project is licensed under the MIT License" name, with their identifiers and SPDX names.
+NAMED = {
+    "mit license": ("mit-short", "MIT"),
+    "apache license version 2.0": ("apache2-short", "Apache-2.0"),
+    "bsd 2-clause license": ("bsd2-short", "BSD-2-Clause"),
+    "bsd 3-clause license": ("bsd3-short", "BSD-3-Clause"),
+    "isc license": ("isc-short", "ISC"),
+    "mozilla public license 2.0": ("mpl2-short", "MPL-2.0"),
+    "eclipse public license 2.0": ("epl2-short", "EPL-2.0"),
+    "gnu general public license version 2": ("gpl2-short", "GPL-2.0-only"),
+    "gnu general public license version 3": ("gpl3-short", "GPL-3.0-only"),
+    "gnu lesser general public license version 2.1": ("lgpl2.1-short", "LGPL-2.1-only"),
+    "gnu lesser general public license version 3": ("lgpl3-short", "LGPL-3.0-only"),
+    "gnu affero general public license version 3": ("agpl3-short", "AGPL-3.0-only"),
+    "boost software license 1.0": ("bsl1-short", "BSL-1.0"),
+    "zlib license": ("zlib-short", "Zlib"),
+}
+
+# SPDX names that are looked for after "SPDX-License-Identifier:", and the identifiers of those that have a sentence above.
+SPDX = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
+
+# The three licences of the GNU project, by their names in headers.
+GNU = {"gnu general public license": "GPL", "gnu lesser general public license": "LGPL", "gnu affero general public license": "AGPL"}
+
+for _name, (_id, _) in NAMED.items():
+    for _subject in ("", "this project is ", "this software is ", "this work is ", "this library is ", "this program is "):
+        for _verb in ("licensed", "released", "distributed"):
+            SENTENCES.setdefault(f"{_subject}{_verb} under the {_name}", _id)
+for _spdx in SPDX:
+    SENTENCES.setdefault(f"spdx-license-identifier {_spdx.lower()}", f"{_spdx.lower()}-spdx")
+for _gnu, _short in GNU.items():
+    _terms = f"you can redistribute it and or modify it under the terms of the {_gnu} as published by the free software foundation"
+    SENTENCES[_terms] = f"{_short.lower()}-terms"
+    for _version in ("2", "2.1", "3"):
+        SENTENCES[f"{_terms} either version {_version} of the license or at your option any later version"] = f"{_short.lower()}{_version}-later"
+
 # Licences and the identifier sequences that they are known by, the longest first.
 RULES = [
+    ("Apache-2.0", ["apache2-head", "apache2-use", "apache2-copy", "apache2-unless", "apache2-see"]),
     ("Apache-2.0", ["apache2-head", "apache2-use", "apache2-copy", "apache2-see"]),
     ("Apache-2.0", ["apache2-head", "apache2-use", "apache2-copy"]),
+    ("BSD-3-Clause", ["all-rights", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty"]),
+    ("BSD-3-Clause", ["all-rights", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-3-Clause", ["bsd-source", "bsd-binary", "bsd-names", "bsd-warranty"]),
+    ("BSD-3-Clause", ["bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-2-Clause", ["all-rights", "bsd-source", "bsd-binary", "bsd-warranty"]),
+    ("BSD-2-Clause", ["all-rights", "bsd-source", "bsd-binary"]),
+    ("BSD-2-Clause", ["bsd-source", "bsd-binary", "bsd-warranty"]),
     ("BSD-2-Clause", ["bsd-source", "bsd-binary"]),
+    ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
+    ("MIT", ["mit-grant", "mit-notice"]),
     ("MIT", ["mit-notice", "mit-warranty"]),
+    ("MIT", ["mit-grant"]),
+    ("ISC", ["isc-grant", "isc-warranty"]),
+    ("EPL-2.0", ["epl2-head"]),
+    ("Zlib", ["zlib-warranty"]),
     ("GPL-3.0-only", ["gpl3-short", "gpl-see", "gpl-copy"]),
     ("GPL-3.0-only", ["gpl3-short", "gpl-see"]),
     ("Apache-2.0", ["apache2-head"]),
@@ -94,6 +162,14 @@ RULES = [
     ("Proprietary", ["all-rights"]),
 ]
 
+for _short in GNU.values():
+    _low = _short.lower()
+    _tail = [["gpl-hope", "gpl-warranty", f"{_low}-see", f"{_low}-copy"], ["gpl-hope", "gpl-warranty", f"{_low}-see"], []]
+    RULES[:0] = [(f"{_short}-{v}{'' if '.' in v else '.0'}-or-later", [*head, *t]) for v in ("2", "2.1", "3") for t in _tail for head in ([f"{_low}{v}-later"], *([[f"{_low}-terms", f"version{v}-later"]] if v != "3" else []))]
+_known = {tuple(ids) for _, ids in RULES}
+RULES += [(name, [i]) for i, name in NAMED.values() if (i,) not in _known]
+RULES += [(name, [f"{name.lower()}-spdx"]) for name in SPDX if f"{name.lower()}-spdx" in SENTENCES.values()]
+
 #: Every known sentence has one of these.
 GATE = ("licens", "rights", "copyright", "warrant", "domain", "redistribut", "permission")
 

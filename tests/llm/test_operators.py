@@ -240,6 +240,89 @@ def test_published_licence_sentences(spark):
     assert [r.sentence_ids for r in got] == [ids for _, ids in want]
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+
+BSD_3 = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+
+APACHE_2 = """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License."""
+
+GPL = """    This program is free software{stop} you can redistribute it and/or modify
+    it under the terms of the GNU {kind} Public License as published by
+    the Free Software Foundation{join} either version {version} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {kind} Public License for more details.
+
+    You should have received a copy of the GNU {kind} Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_whole_licence_texts_and_headers(spark):
+    gnu = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
+    texts = {
+        "MIT": MIT, "BSD-3-Clause": BSD_3, "BSD-2-Clause": BSD_3.replace(BSD_3[BSD_3.index("3. Neither") : BSD_3.index("THIS")], ""), "Apache-2.0": APACHE_2,
+        **{f"{k}-3.0-or-later": GPL.format(kind=v, stop=":", join=",", version=3) for k, v in gnu.items()},
+        "GPL-2.0-or-later": GPL.format(kind="General", stop=";", join=";", version=2), "LGPL-2.1-or-later": GPL.format(kind="Lesser General", stop=";", join=";", version="2.1"),
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+    }
+    notices = [("This project is licensed under the MIT License.", "MIT"), ("This library is distributed under the Mozilla Public License 2.0.", "MPL-2.0"), ("# SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("Released under the BSD 3-Clause License", "BSD-3-Clause")]
+    want = [*((t, n) for n, t in texts.items()), *notices]
+    got = licences.scan_licences(frame(spark, [t for t, _ in want])).orderBy("doc_id").collect()
+    assert [r.licences for r in got] == [[n] for _, n in want]
+
+
 def test_line_notices_and_wrapped_licences_of_one_text(spark):
     wrapped = [PUBLISHED["mit-notice"], PUBLISHED["mit-warranty"]]
     texts = ["\n".join(["# SPDX-License-Identifier: GPL-3.0-only", "Licensed under CC BY 4.0", "All rights reserved", *wrapped]), "\n\n".join(["Copyright (c) Foo", *wrapped, "All rights reserved\nLicensed under CC BY 4.0\nReleased under the MIT license"])]
