@@ -11,6 +11,7 @@ from ..functions import codec, fixed, wire
 from ..operators import actions, gates, index_values, latest, metrics, refdata
 from ..operators.durable import cut
 from ..sources import catalog, ticks
+from ..streaming import messages
 from ..streaming.engine import decode_frames, split_dead_letters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -553,3 +554,58 @@ def dead_letter(spark, sf_dir):
     frame = codec.encode(codec.TICK)
     frames = framed.select(F.col("arrival").alias("offset"), F.when(bad & (F.col("event") % 2 == 0), F.substring(frame, 1, 40)).otherwise(frame).alias("value"))
     return split_dead_letters(decode_frames(frames))[1].select("arrival", (F.octet_length("frame") < 47).alias("short"))
+
+
+@query(
+    "snapshot_messages",
+    """, s AS (SELECT index_id, instrument_id, arg_max(price_e8, arrival) AS p FROM moved GROUP BY ALL)
+SELECT index_id, instrument_id, coalesce(p, initial_price_e8)::BIGINT AS latest_price_e8, weight_e8 FROM constituents LEFT JOIN s USING (index_id, instrument_id)""",
+    "moved",
+)
+def snapshot_messages(spark, sf_dir):
+    """Snapshots as JSON messages, an empty older one of each index among them, and read back."""
+    snap = latest.snapshot(gates.report(ticks.faulty_ticks(spark, sf_dir)), catalog.constituents(spark))
+    older = snap.withColumn("instrument_ids", F.array().cast("array<int>"))
+    sent = messages.to_messages(snap.withColumn("offset", F.lit(2)), "index_id", "offset").union(messages.to_messages(older.withColumn("offset", F.lit(1)), "index_id", "offset"))
+    read = messages.from_messages(messages.last_messages(sent), messages.SNAPSHOT_SCHEMA)
+    return read.select("index_id", F.inline(F.arrays_zip(F.col("instrument_ids").alias("instrument_id"), F.col("latest_prices_e8").alias("latest_price_e8"), F.col("weights_e8").alias("weight_e8"))))
+
+
+@query(
+    "replayed_ticks",
+    "SELECT partition, count(*) AS n FROM (SELECT *, CASE WHEN partition = 3 THEN 0 ELSE 40 * partition + 101 END AS start FROM ticks) WHERE arrival >= start GROUP BY partition",
+    "ticks",
+)
+def replayed_ticks(spark, sf_dir):
+    """Partitions are read again past the least offset of two snapshots, and from the beginning where there is none."""
+    snaps = catalog.local(spark, [([100, 140, 180, -1],), ([900, 940, 980, -1],)], "partition_offsets array<bigint>")
+    return messages.replayed(ticks.clean_ticks(spark, sf_dir), snaps).groupBy("partition").agg(F.count("*").alias("n"))
+
+
+@query(
+    "latency_samples",
+    "SELECT arrival, greatest(1000000000000000000 + arrival - receive_ts_nanos, 0) AS processing_nanos, greatest(1000000000000000000 + arrival - exchange_ts_nanos, 0) AS e2e_nanos FROM ticks WHERE arrival % 128 = 0",
+    "ticks",
+)
+def latency_samples(spark, sf_dir):
+    measured = messages.latency_measures(ticks.clean_ticks(spark, sf_dir), F.lit(1_000_000_000_000_000_000) + F.col("arrival"))
+    return messages.latency_samples(measured, 128).select("arrival", "processing_nanos", "e2e_nanos")
+
+
+def _alarm(name: str, statistic: str, value: F.Column, sql: str) -> None:
+    """An alarm over ticks whose figures follow from their columns."""
+    alarm = next(a for a in metrics.ALARMS if a.name == name)
+
+    @query(f"alarm_{name.replace('-', '_')}", _alarm_sql("ticks", alarm.seconds, alarm.periods, f"{statistic}({sql})::DOUBLE", alarm.threshold), "ticks")
+    def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+        points = ticks.clean_ticks(spark, sf_dir).withColumn("micros", F.floor(F.col("receive_ts_nanos") / 1000))
+        return metrics.alarm_states(points, alarm, "micros", value)
+
+
+_alarm("e2e-p99", "max", F.col("price_e8") % 60_000_000, "price_e8 % 60000000")
+_alarm("consumer-lag", "max", F.col("quantity") * 200, "quantity * 200")
+_alarm("ring-depth", "max", F.col("price_e8") % 65_536, "price_e8 % 65536")
+_alarm("duplicates", "sum", F.col("quantity"), "quantity")
+_alarm("calculation-failures", "sum", (F.col("quantity") == 7).cast("int"), "(quantity = 7)::INTEGER")
+_alarm("dropped", "sum", (F.col("quantity") == 9).cast("int"), "(quantity = 9)::INTEGER")
+_alarm("publisher-lag", "max", F.col("quantity") * 100, "quantity * 100")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from indexloom.operators import gates
 from indexloom.sources import synthetic, ticks
-from indexloom.streaming import engine
+from indexloom.streaming import engine, messages
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +67,25 @@ def test_actions_go_to_both_logs(spark, tmp_path):
     engine.publish_actions(rows, str(tmp_path))
     texts = [spark.read.text(engine.stream_path(str(tmp_path), n)).select(F.get_json_object("value", "$.type")).first()[0] for n in ("corporate.actions", "index.audit")]
     assert texts == ["WeightChange"] * 2
+
+
+def test_snapshots_actions_and_replay_as_messages(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [(100, s, 5, 2.5, [1, 2], [3, 4], [5, 6], [7, 8], [9, 10], 11, [40, -1]) for s in (1, 2)] + [(101, 1, 5, 2.5, [], [], [], [], [], 11, [20, -1])]
+    snaps = spark.createDataFrame(rows, messages.SNAPSHOT_SCHEMA)
+    for number in (1, 2):
+        messages.write_snapshots(snaps.where(f"sequence = {number}"), root, number)
+    spark.createDataFrame([("102", 9, "no json")], "key string, offset long, value string").write.mode("append").parquet(f"{root}/index.snapshots")
+    assert '"latestPricesE8":[3,4]' in messages.read_messages(spark, root, "index.snapshots").where("key = '100'").first().value
+    got = messages.read_snapshots(spark, root)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, snaps.where("index_id = 101 OR sequence = 2").collect()))
+    ticks = spark.createDataFrame([(p, a) for p in (0, 1, 2) for a in (0, 20, 21, 41)], "partition int, arrival long")
+    assert sorted(map(tuple, messages.replayed(ticks, got).collect())) == [(0, 21), (0, 41), *[(p, a) for p in (1, 2) for a in (0, 20, 21, 41)]]
+    acts = spark.createDataFrame([(100, 1, "WeightChange", 7), (101, 2, "ConstituentRemoval", None)], messages.ACTION_SCHEMA)
+    engine.publish_actions(acts, root)
+    assert sorted(map(tuple, messages.read_actions(spark, root).collect())) == sorted(map(tuple, acts.collect()))
+    query = messages.read_actions(spark, root, stream=True).writeStream.format("memory").queryName("acts").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("acts").count() == 2
+    state = messages.checkpoint_state(query, 4_000_000_000_000)
+    assert state["age_millis"] > 0 and state["state_rows"] == 0
