@@ -1,9 +1,11 @@
 """Operator 5, line dedup by content-defined chunks of lines (DataFrame functions only).
 
-A polynomial rolling hash over the hashes of the last two lines decides whether a chunk begins at the next line, so
-boundaries depend on nearby lines alone and come back into step after lines are put in or taken out. Chunks of two lines
-or more whose hash occurs twice in the table are compared byte by byte; of equal chunks the first one, by doc_id and
-place, stays and the others are removed. Chunks of one line are never removed.
+A polynomial rolling hash over the hashes of a line and the one before decides whether a chunk may begin at the line; it
+does unless one may begin at the line before as well, so boundaries depend on nearby lines alone and come back into step
+after lines are put in or taken out. No chunk begins at a text's second or last line either: chunks have two lines or
+more, and copies of a text of several lines go whole. Chunks whose hash occurs twice in the table are compared byte by
+byte; of equal chunks the first one, by doc_id and place, stays and the others are removed. Texts of one line are never
+touched.
 
 Defined results: a null or empty text has no chunk to remove; a null doc_id ranks last; rows that share doc_id and text
 are copies of which none outranks another; lines are what ``\\n`` separates, compared as they stand; texts of any length
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: A chunk begins at a line with a chance of one in DIVISOR.
-DIVISOR = 3
+#: A chunk may begin at a line with a chance of one in DIVISOR; with two, one in four lines begins a chunk, which is the most.
+DIVISOR = 2
 MIN_LINES = 2
 BASE, PRIME = 1_000_003, 2_147_483_647
 LAST = (1 << 63) - 1
@@ -36,11 +38,16 @@ def chunks(text: Column, divisor: int = DIVISOR) -> Column:
     at line feeds that a b follows, whatever the lines hold. All of it is linear in the text.
     """
     lines = F.split(text, "\n", -1)
-    none = F.array(F.lit(None).cast("string"))
-    lag = lambda n: F.concat(F.array_repeat(F.lit(None).cast("string"), n), lines)
-    rolled = lambda e: (_line_hash(e["before"]) * BASE + _line_hash(e["last"])) % PRIME
-    zipped = F.arrays_zip(F.concat(lines, none, none).alias("line"), F.concat(lag(1), none).alias("last"), lag(2).alias("before"))
-    marked = F.transform(F.filter(zipped, lambda e: e["line"].isNotNull()), lambda e: F.concat(F.when(e["before"].isNotNull() & (rolled(e) % divisor == 0), "b").otherwise("c"), e["line"]))
+    hashed = F.transform(lines, lambda x: F.struct(x.alias("line"), _line_hash(x).alias("h")))
+    none = lambda n: F.array_repeat(F.lit(None).cast("struct<line:string,h:bigint>"), n)
+    may = lambda a, b: (a["h"] * BASE + b["h"]) % PRIME % divisor == 0
+
+    def mark(known: Column) -> Column:
+        around = F.arrays_zip(known.alias("own"), F.concat(none(1), known).alias("last"), F.concat(none(2), known).alias("before"), F.slice(known, 2, F.size(known)).alias("next"))
+        begins = lambda e: e["before"].isNotNull() & e["next"].isNotNull() & may(e["last"], e["own"]) & ~may(e["before"], e["last"])
+        return F.transform(F.filter(around, lambda e: e["own"].isNotNull()), lambda e: F.concat(F.when(begins(e), "b").otherwise("c"), e["own"]["line"]))
+
+    marked = F.element_at(F.transform(F.array(hashed), mark), 1)  # so that each line is hashed once
     whole = F.array_join(marked, "\n")
     return F.transform(F.split(F.substring(whole, 2, LAST >> 32), "\nb", -1), lambda c: F.replace(c, F.lit("\nc"), F.lit("\n")))
 
@@ -94,7 +101,7 @@ e AS (
 h AS (
   SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS lh FROM e),
 b AS (
-  SELECT *, coalesce((lag(lh, 2) OVER w * 1000003 + lag(lh) OVER w) % 2147483647 % 3 = 0, false)::INTEGER AS begins
+  SELECT *, coalesce((lag(lh) OVER w * 1000003 + lh) % 2147483647 % 2 = 0 AND (lag(lh, 2) OVER w * 1000003 + lag(lh) OVER w) % 2147483647 % 2 <> 0 AND lead(lh) OVER w IS NOT NULL, false)::INTEGER AS begins
   FROM h WINDOW w AS (PARTITION BY doc_id, own ORDER BY i)),
 n AS (
   SELECT *, sum(begins) OVER (PARTITION BY doc_id, own ORDER BY i) AS nth FROM b),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.durable import checkpoint_dir, cut  # noqa: F401  for the operators
+
 #: A word is a maximal run of code points other than space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -82,37 +83,3 @@ def free_name(columns: Iterable[str], wanted: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster has to name one."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
-        path = _local_folder()
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="checkpoints-")
-
-
-#: Set while a cut runs: its shuffle files go when its rows are written, not when the driver next collects its garbage.
-FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written once to the shared folder, with their lineage cut and their shuffle files deleted."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    before = spark.conf.get(FILE_CLEANUP)
-    spark.conf.set(FILE_CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # a frame of its own, which is made under that setting
-    finally:
-        spark.conf.set(FILE_CLEANUP, before)

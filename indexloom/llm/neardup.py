@@ -1,8 +1,10 @@
 """Operator 10, near-duplicates: BagMinHash signatures, banding, and verification of multiset overlap.
 
 A text is the multiset of its five-word shingles. Each shingle has Poisson processes on dyadic intervals of weight,
-(0,1], (1,2], (2,4], (4,8] and so on; a point of a process has a time, a component of the signature and, by halving
-its interval again and again, a unit of weight, and counts only where the shingle's multiplicity reaches that unit. A
+(0,1], (1,2], (2,4], (4,8] and so on; a point of a process has a time, a component of the signature and a unit of
+weight, and counts only where the shingle's multiplicity reaches that unit. Weights are whole numbers, so a point's unit
+is drawn at once (an interval is not halved down to it), and points beyond the multiplicity, fewer than those within it,
+are drawn and passed over. A
 component of the signature is the earliest time of its points, so two texts agree in it with a probability that is
 their weighted Jaccard similarity. Times are drawn only up to what a text needs to fill its signature.
 
@@ -14,7 +16,8 @@ A pair is a link if the sum of minima of its multiplicities is at least 0.8 of t
 
 Defined results: words are maximal runs outside ASCII white space, as they stand; a text of one to four words is one
 shingle; a null text or one without words is a class of its own row; the class of a group is its least doc_id (nulls
-are passed over); repeated rows are one class; an empty table gives an empty result; other columns, whatever their
+are passed over); repeated rows are one class; ties (copies that share their doc_id) are decided by their other columns;
+texts of any length are read whole; an empty table gives an empty result; other columns, whatever their
 names, pass through ``drop_near_duplicates`` untouched.
 """
 
@@ -250,7 +253,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands:
     worded = F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     own = rows.where(worded).withColumn("own", F.unhex(F.md5(F.col("row.text").cast("binary"))))
     one = own.join(kept, (F.col("own") == F.col("node")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
-    nth = F.row_number().over(Window.partitionBy("own", F.col("row.doc_id")).orderBy("own"))
+    nth = F.row_number().over(Window.partitionBy("own", F.col("row.doc_id")).orderBy(F.to_json("row")))
     one = one.withColumn("nth", nth).where("nth = 1").select("row")
     return one.union(rows.where(~worded)).select("row.*")
 

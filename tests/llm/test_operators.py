@@ -423,12 +423,13 @@ def test_chunks_come_back_into_step(spark):
     assert left[0] == texts[0].split("\n") and len(left[1]) == texts[1].count("\n") + 1 - removed and removed >= 20
 
 
-def test_a_copy_is_dropped_whole_or_keeps_single_lines(spark):
+def test_copies_of_several_lines_are_dropped_whole(spark):
     rnd = random.Random(6)
-    text = "\n".join(sentence(rnd) for _ in range(30))
-    left = {r.doc_id: r.text for r in chunks.drop_repeated_chunks(frame(spark, [text, text, "clean line\nother line"])).collect()}
-    singles = [c for c in frame(spark, [text]).select(chunks.chunks(F.col("text")).alias("c")).first().c if "\n" not in c]
-    assert left[0] == text and left[2] == "clean line\nother line" and left.get(1, "") == "\n".join(singles)
+    texts = ["\n".join(sentence(rnd) for _ in range(n)) for n in (2, 3, 4, 5, 9, 30)]
+    left = {r.doc_id: r.text for r in chunks.drop_repeated_chunks(frame(spark, [*texts, *texts, "clean line\nother line", texts[0].split("\n")[0]])).collect()}
+    assert left == {**dict(enumerate(texts)), 12: "clean line\nother line", 13: texts[0].split("\n")[0]}
+    sizes = [c.count("\n") + 1 for r in frame(spark, texts).select(chunks.chunks(F.col("text")).alias("c")).collect() for c in r.c]
+    assert min(sizes) == 2 and len(sizes) > 10
 
 
 # 6

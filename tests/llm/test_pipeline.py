@@ -1,5 +1,7 @@
 """The pipeline against its stages done by brute force, and the rules of its entry point."""
 
+import random
+
 import corpus_pipeline
 from indexloom.llm import bpe, chunks, mixing, neardup, quality
 
@@ -65,3 +67,19 @@ def test_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, ties, and columns with clashing names."""
+    rnd = random.Random(16)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    clean, long, lines = words(60), words(60_000), "\n".join(words(12) for _ in range(30))
+    rows = [(0, None, None, None, None), (1, "", "en", "src0", 0), (2, clean, "en", "src0", 1), (2, clean, "en", "src0", 1), (3, clean, None, None, None), (None, clean, "de", "src1", 1), (None, None, None, None, None), (4, long, "en", "src0", 1), (5, lines, "fr", "src0", 1), (6, lines, "fr", "src2", 1)]
+    extra = "node string, own string, row string, bucket string, token_ids string"
+    docs = spark.createDataFrame([(*r, *["extra"] * 5) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in docs.collect()) == [2, 4, 5]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {2, 4, 5} and all(r.node == r.own == r.row == r.bucket == r.token_ids == "extra" and r.n_tokens * 4 == len(r._token_ids) for r in got)
