@@ -1,4 +1,10 @@
-"""From raw documents to token ids: each stage's rows are written and read again as the next stage's documents."""
+"""From raw documents to token ids: each stage's rows are written and read again as the next stage's documents.
+
+Defined results: null and empty texts go in the first stage, as they have too few words; texts of any length are read
+whole; of repeated rows, exact copies and ties one is left, that of the least doc_id (nulls last); nulls in other columns
+pass, and count as other values where documents are sampled; further columns, whatever their names, pass untouched, and
+columns of token ids whose names are taken get a leading ``_``; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
