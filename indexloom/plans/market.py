@@ -592,20 +592,20 @@ def latency_samples(spark, sf_dir):
     return messages.latency_samples(measured, 128).select("arrival", "processing_nanos", "e2e_nanos")
 
 
-def _alarm(name: str, statistic: str, value: F.Column, sql: str) -> None:
+def _alarm(name: str, statistic: str, value: str, sql: str | None = None) -> None:
     """An alarm over ticks whose figures follow from their columns."""
     alarm = next(a for a in metrics.ALARMS if a.name == name)
 
-    @query(f"alarm_{name.replace('-', '_')}", _alarm_sql("ticks", alarm.seconds, alarm.periods, f"{statistic}({sql})::DOUBLE", alarm.threshold), "ticks")
+    @query(f"alarm_{name.replace('-', '_')}", _alarm_sql("ticks", alarm.seconds, alarm.periods, f"{statistic}({sql or value})::DOUBLE", alarm.threshold), "ticks")
     def states(spark: SparkSession, sf_dir: str) -> DataFrame:
         points = ticks.clean_ticks(spark, sf_dir).withColumn("micros", F.floor(F.col("receive_ts_nanos") / 1000))
-        return metrics.alarm_states(points, alarm, "micros", value)
+        return metrics.alarm_states(points, alarm, "micros", F.expr(value))
 
 
-_alarm("e2e-p99", "max", F.col("price_e8") % 60_000_000, "price_e8 % 60000000")
-_alarm("consumer-lag", "max", F.col("quantity") * 200, "quantity * 200")
-_alarm("ring-depth", "max", F.col("price_e8") % 65_536, "price_e8 % 65536")
-_alarm("duplicates", "sum", F.col("quantity"), "quantity")
-_alarm("calculation-failures", "sum", (F.col("quantity") == 7).cast("int"), "(quantity = 7)::INTEGER")
-_alarm("dropped", "sum", (F.col("quantity") == 9).cast("int"), "(quantity = 9)::INTEGER")
-_alarm("publisher-lag", "max", F.col("quantity") * 100, "quantity * 100")
+_alarm("e2e-p99", "max", "price_e8 % 60000000")
+_alarm("consumer-lag", "max", "quantity * 200")
+_alarm("ring-depth", "max", "price_e8 % 65536")
+_alarm("duplicates", "sum", "quantity")
+_alarm("calculation-failures", "sum", "int(quantity = 7)", "(quantity = 7)::INTEGER")
+_alarm("dropped", "sum", "int(quantity = 9)", "(quantity = 9)::INTEGER")
+_alarm("publisher-lag", "max", "quantity * 100")
