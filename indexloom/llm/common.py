@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.durable import checkpoint_dir, cut  # noqa: F401  for the operators
 
@@ -20,6 +21,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 1_000_000
 
 
+#: A key with over one in OFTEN of all rows is frequent; there are fewer than OFTEN such keys, however many rows there are.
+OFTEN = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,3 +88,15 @@ def free_name(columns: Iterable[str], wanted: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``keyed``, which has one row a key and in ``n`` how many of ``rows`` have it.
+
+    The fewer than OFTEN frequent keys reach their rows by broadcast, so that no task gets all rows of one of them; all
+    other keys are shuffled. ``rows`` is read twice, so it should be written already; ``keyed`` is written here.
+    """
+    keyed = cut(keyed)
+    most = (keyed.agg(F.sum("n")).first()[0] or 0) / OFTEN
+    often, rest = F.broadcast(keyed.where(F.col("n") > most)), keyed.where(F.col("n") <= most)
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(rest, key))

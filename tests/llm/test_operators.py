@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from indexloom.llm import bpe, chunks, components, language, licences, media, mixing, neardup, ordering, quality, registry, substrings
+from indexloom.llm import bpe, chunks, common, components, language, licences, media, mixing, neardup, ordering, quality, registry, substrings
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -781,7 +781,7 @@ def test_rows_that_repeat_or_lack_an_id(spark):
 
 def test_components(spark):
     rnd = random.Random(12)
-    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 130)] + [(200, 200)] + [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(60)]
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 130)] + [(2999, i) for i in range(1000, 3000)] + [(200, 200)] + [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(60)]
     parent = {n: n for e in edges for n in e if e[0] != e[1]}
 
     def root(n):
@@ -796,3 +796,11 @@ def test_components(spark):
     got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.component for r in got} == {n: root(n) for n in parent} and len(got) == len(parent)
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_frequent_keys_lose_no_row(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1500).alias("k"), "id")
+    got = common.join_by_key(rows, rows.groupBy("k").agg(F.count("*").alias("n")), "k")
+    want = rows.join(rows.groupBy("k").agg(F.count("*").alias("n")), "k")
+    assert Counter(map(tuple, got.select("k", "id", "n").collect())) == Counter(map(tuple, want.select("k", "id", "n").collect()))
+    assert common.join_by_key(rows.limit(0), rows.limit(0).groupBy("k").agg(F.count("*").alias("n")), "k").count() == 0
