@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunks, language, licences, media, mixing, neardup, ordering, quality, substrings
+from . import bpe, chunks, language, licences, media, mixing, neardup, negatives, ordering, quality, substrings, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_raked_mixture": mixing.op1_raked_mixture,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": ordering.op8_training_order,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_bagminhash_near_dup": neardup.op10_bagminhash_near_dup,
+    "op11_warc": warc.op11_warc,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 #: The others are tested against brute force in tests/llm.
@@ -27,4 +30,6 @@ ORACLES: dict[str, str] = {
     "op3_licence_scan": licences.ORACLE,
     "op4_line_hash_substring_dedup": substrings.ORACLE,
     "op5_line_chunk_dedup": chunks.ORACLE,
+    "op11_warc": warc.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
 }

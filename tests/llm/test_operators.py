@@ -18,6 +18,8 @@ from indexloom.llm import bpe, chunks, common, components, language, licences, m
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+PAGES = "page_id long, url string, html string"
+EMBEDDINGS = "vec_id long, embedding array<float>, label int"
 #: Extra columns with names that operators use themselves.
 EXTRA = "node string, own string, row string, n_tokens string, token_ids string, kept_spans string, cuts string, bucket string, component string"
 
@@ -44,7 +46,8 @@ def rows_of(df):
 
 def oracle(name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "pages", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     return db.execute(registry.ORACLES[name])
 
 
@@ -59,11 +62,12 @@ def test_oracle(spark, name):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_empty_table(spark, tmp_path, name):
-    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    for table, schema in (("documents", DOCS), ("pages", PAGES), ("embeddings", EMBEDDINGS)):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if not n.startswith(("op11", "op12", "op13"))))  # those have odd rows of their own
 def test_odd_rows(spark, odd, tmp_path, name):
     odd.write.parquet(str(tmp_path / "documents.parquet"))
     got = registry.QUERIES[name](spark, str(tmp_path))
