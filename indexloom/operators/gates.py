@@ -28,14 +28,14 @@ ACCEPTED, GAP, DUPLICATE, DROPPED, FULL, RECOVERED, PENDING = "accepted", "gap",
 
 
 def report(ticks: DataFrame) -> DataFrame:
-    """Gaps are counted and applied at once."""
-    ordered = ticks.select("*", F.col("arrival").alias("o1"), F.lit(0).cast("bigint").alias("o2"))
+    """Gaps are counted and applied at once. The rows keep their blocks, so that what follows shares their layout."""
+    ordered = blocks.in_blocks(ticks.select("*", F.col("arrival").alias("o1"), F.lit(0).cast("bigint").alias("o2")))
     out = blocks.running(ordered, ["instrument_id"], {"__last": (blocks.MAX, F.col("sequence"))})
     last = F.greatest(F.lit(-1), F.coalesce("__last", F.lit(-1)))
     known = (F.col("sequence") > 0) & (last >= 0)
     status = F.when(known & (F.col("sequence") <= last), DUPLICATE).when(known & (F.col("sequence") > last + 1), GAP).otherwise(ACCEPTED)
     applied = F.col("status") != DUPLICATE
-    return out.withColumn("status", status).select(*ticks.columns, "status", F.when(applied, F.col("o1")).alias("o1"), F.when(applied, F.col("o2")).alias("o2"))
+    return out.withColumn("status", status).select(*ticks.columns, "status", F.when(applied, F.col("o1")).alias("o1"), F.when(applied, F.col("o2")).alias("o2"), blocks.BLOCK_COLUMN)
 
 
 def buffer_unbounded(ticks: DataFrame) -> DataFrame:

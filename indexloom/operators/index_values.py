@@ -69,7 +69,7 @@ def value_path(ticks: DataFrame, constituents: DataFrame, prevalidated: bool = F
     """The value and level of each index after each tick that is applied to it."""
     fresh = changes(fan_out(judge(ticks, prevalidated).where("NOT stale"), constituents))
     sums = {"sum_e8": (blocks.SUM, F.col("delta_e8")), "index_sequence": (blocks.SUM, F.lit(1).cast("bigint"))}
-    path = blocks.running(fresh, ["index_id"], sums, before=False)
+    path = blocks.running(fresh, ["index_id"], sums, before=False)  # by the blocks that the ticks have
     value = F.col("base_e8") + F.col("sum_e8")
     out = path.join(base_values(constituents), "index_id").withColumn("value_e8", value.cast("bigint"))
     return out.select("index_id", F.col("index_sequence").alias("sequence"), "arrival", "instrument_id", "price_e8", "value_e8", fixed.level(F.col("value_e8"), F.col("divisor")).alias("level_e8"), F.col("receive_ts_nanos").alias("timestamp_nanos"), "constituent_count", "o1", "o2")

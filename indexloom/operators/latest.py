@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from . import gates, index_values
-from .durable import cut
 
 
 def _last(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -45,17 +44,20 @@ def every_n(path: DataFrame, n: int) -> DataFrame:
 def snapshot(gated: DataFrame, constituents: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
     """The state of each index as parallel arrays in the order of instruments, with the last sequence of each instrument.
 
-    ``gated`` has all ticks with their order of application; ``offsets`` (partition, offset) is what has been consumed.
-    An index has few constituents, so its arrays are short.
+    ``gated`` has all ticks with their order of application; ``offsets`` (partition, offset) is what has been consumed. Ticks
+    are summed up by slot in one pass; an index has few constituents, so its arrays are short.
     """
-    applied = cut(index_values.judge(gates.applied(gated)))  # read three times
-    fresh = index_values.fan_out(applied.where("NOT stale"), constituents)
-    slots = fresh.groupBy("index_id", "instrument_id").agg(F.max_by("price_e8", F.struct("o1", "o2")).alias("price"), F.max("exchange_ts_nanos").alias("ts"))
-    last = applied.groupBy("instrument_id").agg(F.max("sequence").alias("last"))
-    all_slots = constituents.select("index_id", "instrument_id", "weight_e8", "initial_price_e8").join(slots, ["index_id", "instrument_id"], "left").join(last, "instrument_id", "left")
+    held = constituents.select("index_id", "instrument_id", "weight_e8", "initial_price_e8")
+    moved = index_values.changes(index_values.judge(gates.applied(gated)).join(held, "instrument_id"))
+    counts = ~F.col("stale") & (F.col("weight_e8") != 0)
+    place = F.when(counts, F.struct("o1", "o2"))
+    by_slot = moved.groupBy("index_id", "instrument_id").agg(
+        F.max_by("price_e8", place).alias("price"), F.max(F.when(counts, F.col("exchange_ts_nanos"))).alias("ts"), F.max("sequence").alias("last"),
+        F.sum(F.when(counts, F.col("delta_e8"))).alias("sum_e8"), F.count_if(counts).alias("n"), F.max_by("receive_ts_nanos", place).alias("received"), F.max(place).alias("place"),
+    )
     slot = F.struct("instrument_id", F.coalesce("price", "initial_price_e8").alias("price"), "weight_e8", F.coalesce("ts", F.lit(0)).alias("ts"), F.coalesce("last", F.lit(-1)).alias("last"))
-    arrays = all_slots.groupBy("index_id").agg(F.array_sort(F.collect_list(slot)).alias("s"))
-    out = arrays.join(index_values.judged_values(applied, constituents), "index_id").join(index_values.base_values(constituents).select("index_id", "divisor"), "index_id")
+    arrays = held.join(by_slot, ["index_id", "instrument_id"], "left").groupBy("index_id").agg(F.array_sort(F.collect_list(slot)).alias("s"), F.sum("sum_e8").alias("sum_e8"), F.coalesce(F.sum("n"), F.lit(0)).alias("sequence"), F.coalesce(F.max_by("received", "place"), F.lit(0)).alias("timestamp_nanos"))
+    out = arrays.join(index_values.base_values(constituents), "index_id").withColumn("value_e8", (F.col("base_e8") + F.coalesce("sum_e8", F.lit(0))).cast("bigint"))
     out = out.select("index_id", "sequence", "value_e8", "divisor", F.col("s.instrument_id").alias("instrument_ids"), F.col("s.price").alias("latest_prices_e8"), F.col("s.weight_e8").alias("weights_e8"), F.col("s.ts").alias("last_timestamp_nanos"), F.col("s.last").alias("last_sequences"), "timestamp_nanos")
     if offsets is None:
         return out.withColumn("partition_offsets", F.array().cast(T.ArrayType(T.LongType())))

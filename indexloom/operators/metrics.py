@@ -7,23 +7,35 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK
+from .durable import cut
+
 #: Percentiles are taken over this many last samples.
 SAMPLES = 16_384
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
 
-def percentiles(df: DataFrame, value: Column, order: Column, by: list[str] | None = None, samples: int = SAMPLES, wanted: dict[str, float] = PERCENTILES) -> DataFrame:
+def last_rows(df: DataFrame, by: list[str], order: str, n: int, block: int = BLOCK) -> DataFrame:
+    """The last ``n`` rows of each key by an integer column that orders them. Counts by key and block say in which block the
+    last ``n`` begin; later ones are taken whole, and only that block's rows are ranked. Runs one job, whose result has a row a key and block."""
+    rows = df.withColumn("__block", F.floor(F.col(order) / block))
+    counts = cut(rows.groupBy(*by, "__block").agg(F.count("*").alias("__n")))
+    after = Window.partitionBy(*by).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    later = counts.withColumn("__later", F.coalesce(F.sum("__n").over(after), F.lit(0))).where(F.col("__later") < n).withColumn("__cut", F.col("__later") + F.col("__n") > n)
+    kept = rows.join(later.select(*by, "__block", "__later", "__cut"), [*by, "__block"])
+    ranked = kept.where("__cut").withColumn("__place", F.row_number().over(Window.partitionBy(*by, "__block").orderBy(F.desc(order))))
+    begun = ranked.where(F.col("__later") + F.col("__place") <= n).select(*df.columns)
+    return kept.where("NOT __cut").select(*df.columns).unionByName(begun)
+
+
+def percentiles(df: DataFrame, value: Column, order: Column, by: list[str] | None = None, samples: int = SAMPLES, wanted: dict[str, float] = PERCENTILES, block: int = BLOCK) -> DataFrame:
     """Nearest-rank percentiles of the last samples of each key (of all rows without keys); values below 0 count as 0.
 
-    Without keys the last samples come from a top-k, with keys from a ranking that keeps ``samples`` rows of each.
+    Without keys the last samples come from a top-k, with keys from ``last_rows``; each key's percentiles are of ``samples`` rows at most.
     """
     keys = by or []
     rows = df.select(*keys, F.greatest(value, F.lit(0)).alias("__v"), order.alias("__o"))
-    if keys:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__o")))
-        last = rows.withColumn("__n", rank).where(F.col("__n") <= samples)
-    else:
-        last = rows.orderBy(F.desc("__o")).limit(samples)
+    last = last_rows(rows, keys, "__o", samples, block) if keys else rows.orderBy(F.desc("__o")).limit(samples)
     out = [F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY __v)").cast("bigint"), F.lit(0)).alias(name) for name, p in wanted.items()]
     return last.groupBy(*keys).agg(F.count("*").alias("samples"), *out)
 

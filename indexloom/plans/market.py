@@ -228,7 +228,7 @@ _MANY = "many(index_id, instrument_id) AS (SELECT (i // 8 + 1000)::SMALLINT, ((i
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks.clean_ticks(spark, sf_dir).select("arrival", ((F.col("arrival") / 4).cast("bigint") % 300 + 1).cast("int").alias("instrument_id"))
+    return ticks.raw_ticks(spark, sf_dir).select("arrival", ((F.col("arrival") / 4).cast("bigint") % 300 + 1).cast("int").alias("instrument_id"))
 
 
 @query("fanout_factor", f", {_MANY}\nSELECT arrival, instrument_id, count(m.index_id) AS routes FROM wide LEFT JOIN many m USING (instrument_id) GROUP BY arrival, instrument_id", "ticks")
@@ -252,12 +252,12 @@ SELECT exchange_id, count(*) AS samples, quantile_disc(v, 0.5)::BIGINT AS p50, q
     "ticks",
 )
 def latency_percentiles(spark, sf_dir):
-    return metrics.percentiles(ticks.clean_ticks(spark, sf_dir), F.col("price_e8") % 5_000_000 - F.col("quantity"), F.col("arrival"), by=["exchange_id"])
+    return metrics.percentiles(ticks.raw_ticks(spark, sf_dir), F.col("price_e8") % 5_000_000 - F.col("quantity"), F.col("arrival"), by=["exchange_id"])
 
 
 @query("throughput", "SELECT count(*) AS messages, (max(receive_ts_nanos) - min(receive_ts_nanos))::DOUBLE / 1e9 AS seconds, count(*) / ((max(receive_ts_nanos) - min(receive_ts_nanos))::DOUBLE / 1e9) AS per_second FROM ticks", "ticks")
 def throughput(spark, sf_dir):
-    return metrics.throughput(ticks.clean_ticks(spark, sf_dir))
+    return metrics.throughput(ticks.raw_ticks(spark, sf_dir))
 
 
 @query("delta_every_n", "SELECT (arrival // 4096) AS bucket, index_id, max(sequence) AS sequence, arg_max(value_e8, sequence) AS value_e8, arg_max(level_e8, sequence) AS level_e8, arg_max(timestamp_nanos, sequence) AS timestamp_nanos FROM levels GROUP BY ALL", "levels")
@@ -281,10 +281,12 @@ SELECT index_id, sequence, value_e8, level_e8 FROM won JOIN levels USING (index_
 )
 def latest_upsert(spark, sf_dir):
     """A table that has seen every other 500 values is flushed with the rest, whose last arrival is not their highest sequence."""
-    values = cut(_shuffled_values(spark, sf_dir))
+    values = _shuffled_values(spark, sf_dir)
     first = F.col("sequence") % 1000 < 500
-    stored = latest.latest_by_sequence(values.where(first)).select("index_id", "sequence", "value_e8", "level_e8")
-    return latest.upsert(stored, values.where(~first))
+    row = F.struct("sequence", "value_e8", "level_e8", "arrival")
+    both = cut(values.groupBy("index_id").agg(F.max_by(row, F.when(first, F.col("sequence"))).alias("stored"), F.max_by(row, F.when(~first, F.col("arrival"))).alias("news")))  # a row an index
+    stored = both.where("stored IS NOT NULL").select("index_id", "stored.*").drop("arrival")
+    return latest.upsert(stored, both.where("news IS NOT NULL").select("index_id", "news.*"))
 
 
 @query(
@@ -370,7 +372,7 @@ def corporate_action_weights(spark, sf_dir):
 @query("replay_offsets", "SELECT p::INTEGER AS partition, coalesce(min(o) FILTER (WHERE o >= 0) + 1, 0)::BIGINT AS start_offset FROM (SELECT partition AS p, CASE WHEN partition = 3 THEN -1 ELSE max(arrival) - instrument_id END AS o FROM ticks GROUP BY partition, instrument_id) GROUP BY p", "ticks")
 def replay_offsets(spark, sf_dir):
     offset = F.when(F.col("partition") == 3, -1).otherwise(F.max("arrival") - F.col("instrument_id"))
-    by = ticks.clean_ticks(spark, sf_dir).groupBy("partition", "instrument_id").agg(offset.alias("offset"))
+    by = ticks.raw_ticks(spark, sf_dir).groupBy("partition", "instrument_id").agg(offset.alias("offset"))
     # instruments come two to a partition; the n-th of each makes the n-th snapshot
     nth = by.withColumn("snapshot", F.floor((F.col("instrument_id") - 1) / 4))
     arrays = nth.groupBy("snapshot").agg(F.transform(F.array_sort(F.collect_list(F.struct("partition", "offset"))), lambda x: x["offset"]).alias("partition_offsets"))
@@ -542,7 +544,7 @@ def alarm_stale_rate(spark, sf_dir):
 @query("alarm_latency", _alarm_sql("ticks", 60, 2, "max(price_e8 % 7000000)::DOUBLE", 5_000_000), "ticks")
 def alarm_latency(spark, sf_dir):
     alarm = next(a for a in metrics.ALARMS if a.name == "processing-p99")
-    points = ticks.clean_ticks(spark, sf_dir).withColumn("micros", F.floor(F.col("receive_ts_nanos") / 1000))
+    points = ticks.raw_ticks(spark, sf_dir).withColumn("micros", F.floor(F.col("receive_ts_nanos") / 1000))
     return metrics.alarm_states(points, alarm, "micros", F.col("price_e8") % 7_000_000)
 
 
@@ -579,7 +581,7 @@ def snapshot_messages(spark, sf_dir):
 def replayed_ticks(spark, sf_dir):
     """Partitions are read again past the least offset of two snapshots, and from the beginning where there is none."""
     snaps = catalog.local(spark, [([100, 140, 180, -1],), ([900, 940, 980, -1],)], "partition_offsets array<bigint>")
-    return messages.replayed(ticks.clean_ticks(spark, sf_dir), snaps).groupBy("partition").agg(F.count("*").alias("n"))
+    return messages.replayed(ticks.raw_ticks(spark, sf_dir), snaps).groupBy("partition").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -588,7 +590,7 @@ def replayed_ticks(spark, sf_dir):
     "ticks",
 )
 def latency_samples(spark, sf_dir):
-    measured = messages.latency_measures(ticks.clean_ticks(spark, sf_dir), F.lit(1_000_000_000_000_000_000) + F.col("arrival"))
+    measured = messages.latency_measures(ticks.raw_ticks(spark, sf_dir), F.lit(1_000_000_000_000_000_000) + F.col("arrival"))
     return messages.latency_samples(measured, 128).select("arrival", "processing_nanos", "e2e_nanos")
 
 
@@ -598,7 +600,7 @@ def _alarm(name: str, statistic: str, value: str, sql: str | None = None) -> Non
 
     @query(f"alarm_{name.replace('-', '_')}", _alarm_sql("ticks", alarm.seconds, alarm.periods, f"{statistic}({sql or value})::DOUBLE", alarm.threshold), "ticks")
     def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-        points = ticks.clean_ticks(spark, sf_dir).withColumn("micros", F.floor(F.col("receive_ts_nanos") / 1000))
+        points = ticks.raw_ticks(spark, sf_dir).withColumn("micros", F.floor(F.col("receive_ts_nanos") / 1000))
         return metrics.alarm_states(points, alarm, "micros", F.expr(value))
 
 
