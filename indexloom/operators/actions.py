@@ -20,17 +20,21 @@ ACTION_SCHEMA = "o1 bigint, index_id smallint, instrument_id int, type string, n
 
 
 def weight_history(actions: DataFrame, constituents: DataFrame) -> DataFrame:
-    """Actions that take effect, with the weight before and after. Additions count only at weight 0, and unknown constituents or types never."""
-    known = actions.join(constituents.select("index_id", "instrument_id", "weight_e8"), ["index_id", "instrument_id"]).where(F.col("type").isin(CHANGE, ADDITION, REMOVAL))
-    ordered = known.groupBy("index_id", "instrument_id", "weight_e8").agg(F.array_sort(F.collect_list(F.struct("o1", "type", "new_weight_e8"))).alias("actions"))
-    start = F.struct(F.col("weight_e8").alias("w"), F.array().cast("array<struct<o1:bigint,type:string,w_before:bigint,w_after:bigint>>").alias("out"))
-
-    def step(state, action):
-        after = F.when(action["type"] == REMOVAL, F.lit(0).cast("bigint")).otherwise(action["new_weight_e8"])
-        done = F.struct(action["o1"].alias("o1"), action["type"].alias("type"), state["w"].alias("w_before"), after.alias("w_after"))
-        return F.when((action["type"] == ADDITION) & (state["w"] != 0), state).otherwise(F.struct(after.alias("w"), F.concat(state["out"], F.array(done)).alias("out")))
+    """Actions that take effect, with the weight before and after. Additions count only at weight 0, and unknown constituents or types never.
 
-    return ordered.select("index_id", "instrument_id", F.inline(F.aggregate("actions", start, step)["out"]))
+    Changes and removals always count, so each sets the weight of a slot anew, whatever came before. After one (or at the
+    start), additions count if it left weight 0 and no addition of another weight has counted since: a matter of running
+    values, so no slot's actions are gathered.
+    """
+    known = actions.join(constituents.select("index_id", "instrument_id", "weight_e8"), ["index_id", "instrument_id"]).where(F.col("type").isin(CHANGE, ADDITION, REMOVAL))
+    ordered = known.select("index_id", "instrument_id", "weight_e8", "o1", F.struct("type", "new_weight_e8").alias("o2"), "type", F.when(F.col("type") == REMOVAL, F.lit(0).cast("bigint")).otherwise(F.col("new_weight_e8")).alias("w_after"))
+    by, adds = ["index_id", "instrument_id"], F.col("type") == ADDITION
+    counted = blocks.running(blocks.in_blocks(ordered), by, {"set_to": (blocks.LAST, F.when(~adds, F.col("w_after"))), "added": (blocks.SUM, (adds & (F.col("w_after") != 0)).cast("bigint"))})
+    since = blocks.running(counted, by, {"added_then": (blocks.LAST, F.when(~adds, F.col("added")))})
+    open_ = (F.coalesce("set_to", "weight_e8") == 0) & (F.col("added") == F.coalesce("added_then", F.lit(0)))
+    effective = since.where(~adds | open_)
+    before = blocks.running(effective, by, {"w_last": (blocks.LAST, F.col("w_after"))})
+    return before.select("index_id", "instrument_id", "o1", "type", F.coalesce("w_last", "weight_e8").alias("w_before"), "w_after")
 
 
 def path(ticks: DataFrame, constituents: DataFrame, actions: DataFrame) -> DataFrame:

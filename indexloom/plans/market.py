@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, fixed, wire
 from ..operators import actions, gates, index_values, latest, metrics, refdata
 from ..operators.durable import cut
-from ..sources import catalog, ticks
+from ..sources import catalog, reference, ticks
 from ..streaming import messages
 from ..streaming.engine import decode_frames, split_dead_letters
 
@@ -94,9 +94,15 @@ def partition_route(spark, sf_dir):
     return ids.select("id", *[fixed.route(F.col("id"), n).alias(f"p{n}") for n in (2, 3, 4, 5, 6, 8, 32)])
 
 
-@query("index_base", "SELECT index_id, base_e8, divisor, constituent_count FROM base", "base")
+@query(
+    "index_base",
+    """WITH f AS (SELECT l_suppkey, l_partkey, min((l_orderkey, l_linenumber)) AS p FROM lineitem GROUP BY ALL), c AS (SELECT l_suppkey + 1 AS index_id, (p[1] % 1000 + 1) * 1000000 AS price, count(*) OVER w AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY p) = 1 AS first FROM f WINDOW w AS (PARTITION BY l_suppkey)),
+w AS (SELECT *, 100000000 // n + CASE WHEN first THEN 100000000 % n ELSE 0 END AS weight FROM c)
+SELECT index_id, sum(price::HUGEINT * weight // 100000000)::BIGINT AS base_e8, sum(price::HUGEINT * weight // 100000000)::BIGINT::DOUBLE / 1000.0 AS divisor, count(*) FILTER (WHERE weight > 0)::INTEGER AS constituent_count FROM w GROUP BY index_id""",
+)
 def index_base(spark, sf_dir):
-    return index_values.base_values(catalog.constituents(spark))
+    """Indexes of suppliers over the parts of their line items."""
+    return index_values.base_values(reference.constituents(spark, sf_dir, faulty=False))
 
 
 @query(
@@ -363,9 +369,27 @@ def corporate_action_path(spark, sf_dir):
     return actions.values_after_actions(_applied(spark, sf_dir), catalog.constituents(spark), rows)
 
 
-@query("corporate_action_weights", f", {_WEIGHTS} SELECT index_id, instrument_id, o1, type, w_before::BIGINT AS w_before, w_after::BIGINT AS w_after FROM history", "constituents", recursive=True)
+_TYPES = {"click": "WeightChange", "error": "ConstituentRemoval", "purchase": "ConstituentAddition", "signup": "ConstituentAddition"}
+
+
+@query(
+    "corporate_action_weights",
+    f""", acts AS (SELECT event_id * 4 + 3 AS o1, (100 + event_id % 4)::SMALLINT AS index_id, (user_id % 8 + 1)::INTEGER AS instrument_id, CASE event_type {" ".join(f"WHEN '{e}' THEN '{t}'" for e, t in _TYPES.items())} ELSE 'Split' END AS type,
+    CASE WHEN (props->>'$.k')::BIGINT % 5 = 0 THEN 0 ELSE (props->>'$.k')::BIGINT * 1000000 END AS new_weight_e8 FROM events WHERE event_id % 7 = 0),
+known AS (SELECT a.*, c.weight_e8, row_number() OVER (PARTITION BY index_id, instrument_id ORDER BY o1) AS n FROM acts a JOIN constituents c USING (index_id, instrument_id) WHERE type <> 'Split'),
+folded AS (SELECT DISTINCT index_id, instrument_id, 0::BIGINT AS n, 0::BIGINT AS o1, '' AS type, weight_e8 AS w_before, weight_e8 AS w_after, false AS done FROM known
+  UNION ALL SELECT k.index_id, k.instrument_id, k.n, k.o1, k.type, f.w_after, CASE WHEN k.type = 'ConstituentRemoval' THEN 0 WHEN k.type = 'ConstituentAddition' AND f.w_after <> 0 THEN f.w_after ELSE k.new_weight_e8 END,
+    NOT (k.type = 'ConstituentAddition' AND f.w_after <> 0) FROM folded f JOIN known k ON k.index_id = f.index_id AND k.instrument_id = f.instrument_id AND k.n = f.n + 1)
+SELECT index_id, instrument_id, o1, type, w_before::BIGINT AS w_before, w_after::BIGINT AS w_after FROM folded WHERE done""",
+    "constituents",
+    recursive=True,
+)
 def corporate_action_weights(spark, sf_dir):
-    rows = catalog.local(spark, [(o + 3, *rest) for o, *rest in _ACTIONS], actions.ACTION_SCHEMA)
+    """Every seventh event is an action on a constituent of the catalog; some name no index of it, or are of no known type."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 7 = 0")
+    kind = F.coalesce(*[F.when(F.col("event_type") == e, t) for e, t in _TYPES.items()], F.lit("Split"))
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rows = events.select((F.col("event_id") * 4 + 3).alias("o1"), (F.col("event_id") % 4 + 100).cast("smallint").alias("index_id"), (F.col("user_id") % 8 + 1).cast("int").alias("instrument_id"), kind.alias("type"), F.when(k % 5 == 0, 0).otherwise(k * 1_000_000).cast("bigint").alias("new_weight_e8"))
     return actions.weight_history(rows, catalog.constituents(spark))
 
 
@@ -386,72 +410,46 @@ def consumer_lag(spark, sf_dir):
     return latest.consumer_lag(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), document.alias("json")), "ticks.raw")
 
 
-_ONE = fixed.SCALE
-#: The catalog with faults of many kinds.
-_BROKEN_INSTRUMENTS = [(i, symbol, 1, "GBP", "XLON", True) for i, symbol, _ in catalog.INSTRUMENTS] + [
-    (2, "VOD", 1, "GBP", "XLON", True), (9, "vod", 1, "GBP", "XLON", True), (10, "BLANK", 1, " ", "XLON", True), (11, "OFF", 1, "GBP", "XLON", False), (12, "US", 1, "USD", "XNYS", True),
-    (0, "ZERO", 1, "GBP", "XLON", True), (13, " ", 1, "GBP", "XLON", True),
-]
-_BROKEN_INDEXES = [(x, f"IDX{x}", "GBP", "WeightedPrice", 1, 1) for x in catalog.WEIGHTS] + [
-    (103, "EMPTY", "GBP", "WeightedPrice", 1, 1), (104, "idx100", "GBP", "WeightedPrice", 2, 1), (-1, "BELOW", "GBP", "WeightedPrice", 1, 1), (105, "FIRST", "GBP", "WeightedPrice", 1, 1), (105, "SECOND", "", "WeightedPrice", 1, 2),
-    (106, "", "GBP", "WeightedPrice", 1, 1), (107, "CAP", "GBP", "FloatAdjustedMarketCap", 1, 1),
-]
-_BROKEN_CONSTITUENTS = [(x, i, w, next(p for j, _, p in catalog.INSTRUMENTS if j == i), False, 0, _ONE, _ONE) for x, by in catalog.WEIGHTS.items() for i, w in by.items()] + [
-    (100, 1000, 1, 1, False, 0, _ONE, _ONE), (100, 1, 1, 1, False, 0, _ONE, _ONE), (101, 11, 1, 0, False, 0, _ONE, _ONE), (102, 12, 0, 1, False, 0, _ONE, _ONE), (104, 1, 5, 1, False, 0, _ONE, _ONE),
-    (107, 3, -1, 1, False, 0, _ONE + 1, 0), (107, 10, 1, 1, False, 5, _ONE, _ONE), (105, 4, _ONE, 1, True, 0, _ONE, _ONE), (106, 11, _ONE, 1, True, 0, _ONE, _ONE),
-]
-
-
-def _values(rows: list[tuple], schema: str) -> str:
-    types = [c.split()[1].replace("string", "varchar") for c in schema.split(", ")]
-    literal = lambda v: "'" + v + "'" if isinstance(v, str) else str(v).lower()
-    return "(VALUES " + ", ".join("(" + ", ".join(f"{literal(v)}::{t}" for v, t in zip(r, types, strict=True)) + ")" for r in rows) + f") t({', '.join(c.split()[0] for c in schema.split(', '))})"
-
-
 @query(
     "refdata_errors",
-    f"""WITH inst AS (SELECT * FROM {_values(_BROKEN_INSTRUMENTS, catalog.INSTRUMENT_SCHEMA)}), idx AS (SELECT * FROM {_values(_BROKEN_INDEXES, catalog.INDEX_SCHEMA)}),
-con AS (SELECT * FROM {_values(_BROKEN_CONSTITUENTS, catalog.CONSTITUENT_SCHEMA)}), valid AS (SELECT * FROM inst WHERE instrument_id > 0),
+    f"""WITH {reference.FAULTY_SQL}, valid AS (SELECT * FROM inst WHERE instrument_id > 0),
 of_index AS (SELECT con.*, code, idx.currency AS index_currency, methodology FROM con JOIN idx USING (index_id)),
 facts AS (SELECT instrument_id, arg_max(currency, symbol) AS currency, bool_or(is_active) AS is_active FROM valid GROUP BY instrument_id),
-known AS (SELECT * FROM of_index JOIN facts USING (instrument_id))
-SELECT DISTINCT rule, entity FROM (
-  SELECT 'V1' AS rule, 'snapshot' AS entity UNION ALL SELECT 'V2', 'snapshot' UNION ALL SELECT 'V3', 'snapshot'
-  UNION ALL SELECT 'V4', 'snapshot' WHERE greatest((SELECT max(instrument_id) FROM inst), (SELECT max(instrument_id) FROM con)) > 4 * (SELECT count(*) FROM inst)
-  UNION ALL SELECT 'V5', symbol FROM inst WHERE instrument_id <= 0
-  UNION ALL SELECT 'V6', instrument_id::VARCHAR FROM valid GROUP BY instrument_id HAVING count(*) > 1
-  UNION ALL SELECT 'V7', instrument_id::VARCHAR FROM valid WHERE trim(symbol) = ''
-  UNION ALL SELECT 'V8', upper(symbol) FROM valid WHERE trim(symbol) <> '' GROUP BY upper(symbol) HAVING count(*) > 1
-  UNION ALL SELECT 'V9', symbol FROM valid WHERE trim(currency) = ''
-  UNION ALL SELECT 'V10', code FROM idx WHERE index_id <= 0
-  UNION ALL SELECT 'V11', index_id::VARCHAR FROM idx WHERE index_id > 0 GROUP BY index_id HAVING count(*) > 1
-  UNION ALL SELECT 'V12', index_id::VARCHAR FROM idx WHERE trim(code) = ''
-  UNION ALL SELECT 'V13', upper(code) FROM idx WHERE trim(code) <> '' GROUP BY upper(code) HAVING count(*) > 1
-  UNION ALL SELECT 'V14', code FROM idx WHERE trim(currency) = ''
-  UNION ALL SELECT 'V15', code FROM idx WHERE version > 0 AND version <> 1
-  UNION ALL SELECT 'V16', code FROM idx WHERE effective_from_nanos > 0 AND effective_from_nanos <> 1
-  UNION ALL SELECT 'V17', code FROM idx WHERE index_id NOT IN (SELECT index_id FROM con)
-  UNION ALL SELECT 'V18', code FROM of_index WHERE instrument_id NOT IN (SELECT instrument_id FROM valid)
-  UNION ALL SELECT 'V19', code FROM known GROUP BY index_id, code, instrument_id HAVING count(*) > 1
-  UNION ALL SELECT 'V20', code FROM known WHERE NOT is_active AND NOT placeholder
-  UNION ALL SELECT 'V21', code FROM known WHERE initial_price_e8 <= 0
-  UNION ALL SELECT 'V22', code FROM known WHERE weight_e8 < 0
-  UNION ALL SELECT 'V23', code FROM known WHERE free_float_e8 < 0 OR free_float_e8 > 100000000
-  UNION ALL SELECT 'V24', code FROM known WHERE fx_rate_e8 <= 0
-  UNION ALL SELECT 'V25', code FROM known WHERE methodology = 'FloatAdjustedMarketCap' AND shares <= 0
-  UNION ALL SELECT 'V26', code FROM known WHERE upper(currency) <> upper(index_currency) AND NOT (upper(currency) = 'GBP' AND upper(index_currency) = 'USD')
-  UNION ALL SELECT 'V27', code FROM of_index WHERE methodology = 'WeightedPrice' GROUP BY index_id, code HAVING sum(greatest(weight_e8, 0)) <> 100000000)""",
+known AS (SELECT *, 'Index ''' || code || ''' constituent ' || instrument_id || ' ' AS item FROM of_index JOIN facts USING (instrument_id)),
+top AS (SELECT (SELECT count(*) FROM inst) AS n, greatest((SELECT max(instrument_id) FROM inst), (SELECT max(instrument_id) FROM con)) AS top)
+SELECT rule, entity, message FROM (
+  SELECT 'V1' AS rule, 'snapshot' AS entity, 'Reference data version must be positive.' AS message UNION ALL SELECT 'V2', 'snapshot', 'Reference data must contain at least one instrument.' UNION ALL SELECT 'V3', 'snapshot', 'Reference data must contain at least one index.'
+  UNION ALL SELECT 'V4', 'snapshot', 'Instrument ids must be normalized to dense internal ids for array indexing; count=' || n || ', maxId=' || top || '.' FROM top WHERE top > 4 * n
+  UNION ALL SELECT 'V5', symbol, 'Instrument ''' || symbol || ''' has non-positive instrument id ' || instrument_id || '.' FROM inst WHERE instrument_id <= 0
+  UNION ALL SELECT 'V6', instrument_id::VARCHAR, 'Duplicate instrument id ' || instrument_id || '.' FROM valid GROUP BY instrument_id HAVING count(*) > 1
+  UNION ALL SELECT 'V7', instrument_id::VARCHAR, 'Instrument id ' || instrument_id || ' is missing symbol.' FROM valid WHERE trim(symbol) = ''
+  UNION ALL SELECT 'V8', upper(symbol), 'Duplicate instrument symbol ''' || upper(symbol) || '''.' FROM valid WHERE trim(symbol) <> '' GROUP BY upper(symbol) HAVING count(*) > 1
+  UNION ALL SELECT 'V9', symbol, 'Instrument ''' || symbol || ''' is missing currency.' FROM valid WHERE trim(currency) = ''
+  UNION ALL SELECT 'V10', code, 'Index ''' || code || ''' has non-positive index id ' || index_id || '.' FROM idx WHERE index_id <= 0
+  UNION ALL SELECT 'V11', index_id::VARCHAR, 'Duplicate index id ' || index_id || '.' FROM idx WHERE index_id > 0 GROUP BY index_id HAVING count(*) > 1
+  UNION ALL SELECT 'V12', index_id::VARCHAR, 'Index id ' || index_id || ' is missing code.' FROM idx WHERE trim(code) = ''
+  UNION ALL SELECT 'V13', upper(code), 'Duplicate index code ''' || upper(code) || '''.' FROM idx WHERE trim(code) <> '' GROUP BY upper(code) HAVING count(*) > 1
+  UNION ALL SELECT 'V14', code, 'Index ''' || code || ''' is missing currency.' FROM idx WHERE trim(currency) = ''
+  UNION ALL SELECT 'V15', code, 'Index ''' || code || ''' version ' || version || ' does not match snapshot version 1.' FROM idx WHERE version > 0 AND version <> 1
+  UNION ALL SELECT 'V16', code, 'Index ''' || code || ''' effective timestamp does not match snapshot timestamp.' FROM idx WHERE effective_from_nanos > 0 AND effective_from_nanos <> 1
+  UNION ALL SELECT 'V17', code, 'Index ''' || code || ''' must contain at least one constituent.' FROM idx WHERE index_id NOT IN (SELECT index_id FROM con)
+  UNION ALL SELECT 'V18', code, 'Index ''' || code || ''' references unknown instrument id ' || instrument_id || '.' FROM of_index WHERE instrument_id NOT IN (SELECT instrument_id FROM valid)
+  UNION ALL SELECT 'V19', code, 'Index ''' || code || ''' has duplicate constituent instrument id ' || instrument_id || '.' FROM known GROUP BY index_id, code, instrument_id HAVING count(*) > 1
+  UNION ALL SELECT 'V20', code, 'Index ''' || code || ''' references inactive instrument id ' || instrument_id || '.' FROM known WHERE NOT is_active AND NOT placeholder
+  UNION ALL SELECT 'V21', code, item || 'has non-positive initial price.' FROM known WHERE initial_price_e8 <= 0
+  UNION ALL SELECT 'V22', code, item || 'has negative weight.' FROM known WHERE weight_e8 < 0
+  UNION ALL SELECT 'V23', code, item || 'has invalid free-float factor.' FROM known WHERE free_float_e8 < 0 OR free_float_e8 > 100000000
+  UNION ALL SELECT 'V24', code, item || 'has non-positive FX rate.' FROM known WHERE fx_rate_e8 <= 0
+  UNION ALL SELECT 'V25', code, 'Index ''' || code || ''' market-cap constituent ' || instrument_id || ' must have positive shares.' FROM known WHERE methodology = 'FloatAdjustedMarketCap' AND shares <= 0
+  UNION ALL SELECT 'V26', code, item || 'requires FX ' || currency || '->' || index_currency || '.' FROM known k WHERE currency <> index_currency
+    AND (trim(currency) = '' OR trim(index_currency) = '' OR NOT EXISTS (SELECT 1 FROM fx WHERE f = k.currency AND t = k.index_currency))
+  UNION ALL SELECT 'V27', code, 'Index ''' || code || ''' weighted-price constituents must sum to 100000000; actual=' || sum(greatest(weight_e8, 0)) || '.' FROM of_index WHERE methodology = 'WeightedPrice' GROUP BY index_id, code HAVING sum(greatest(weight_e8, 0)) <> 100000000)""",
 )
 def refdata_errors(spark, sf_dir):
-    """All rules: those of one snapshot with faults, and those of an empty one without a version."""
-    broken = _broken(spark)
+    """All rules: those of the tables' faulty snapshot, and those of an empty one without a version."""
+    broken = (reference.instruments(spark, sf_dir), reference.indexes(spark, sf_dir), reference.constituents(spark, sf_dir), reference.fx_rates(spark, sf_dir))
     empty = [df.limit(0) for df in broken]
-    return refdata.validate(1, 1, *broken).union(refdata.validate(0, 1, *empty)).select("rule", "entity").distinct()
-
-
-def _broken(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    rows = ((_BROKEN_INSTRUMENTS, catalog.INSTRUMENT_SCHEMA), (_BROKEN_INDEXES, catalog.INDEX_SCHEMA), (_BROKEN_CONSTITUENTS, catalog.CONSTITUENT_SCHEMA), ([("GBP", "USD", _ONE)], "from_currency string, to_currency string, rate_e8 bigint"))
-    return tuple(catalog.local(spark, *x) for x in rows)
+    return refdata.validate(1, 1, *broken).union(refdata.validate(0, 1, *empty))
 
 
 @query("codec_roundtrip", "SELECT arrival, sequence, instrument_id, exchange_id, price_e8, quantity, exchange_ts_nanos, receive_ts_nanos, partition, flags, 47 AS size FROM ticks", "ticks")

@@ -359,6 +359,28 @@ def test_reference_data(spark):
     assert refdata.validate(1, 1, dollars, *good[1:], covered).isEmpty()
 
 
+def test_tables_break_every_rule(spark):
+    rules = market.QUERIES["refdata_errors"](spark, "/root/testdata/sf0.01").select("rule").distinct().collect()
+    assert {r.rule for r in rules} == {f"V{i}" for i in range(1, 28)}
+
+
+def test_weights_equal_a_fold(spark):
+    """Many actions on one slot, over many blocks, ties among them."""
+    rnd = random.Random(6)
+    held = [(1, 1, 5), (1, 2, 0), (2, 1, 7)]
+    rows = [(rnd.randrange(0, 400_000, 3), *rnd.choice(held)[:2], rnd.choice([actions.CHANGE, actions.ADDITION, actions.ADDITION, actions.REMOVAL, "Split"]), rnd.choice([0, 3, 4])) for _ in range(600)]
+    constituents = spark.createDataFrame(held, "index_id smallint, instrument_id int, weight_e8 bigint")
+    got = actions.weight_history(spark.createDataFrame(rows, actions.ACTION_SCHEMA), constituents).collect()
+    want, weights = [], {h[:2]: h[2] for h in held}
+    for o, x, i, kind, w in sorted(rows, key=lambda r: (r[0], r[3], r[4])):
+        if kind == "Split" or kind == actions.ADDITION and weights[x, i] != 0:
+            continue
+        after = 0 if kind == actions.REMOVAL else w
+        want.append((x, i, o, kind, weights[x, i], after))
+        weights[x, i] = after
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_upsert_guards_the_sequence(spark):
     schema = "index_id int, sequence bigint, value_e8 bigint"
     stored = spark.createDataFrame([(1, 5, 50), (2, 5, 50)], schema)
