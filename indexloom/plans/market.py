@@ -193,7 +193,7 @@ SELECT arrival, instrument_id, sequence, status FROM w""",
     recursive=True,
 )
 def seq_drop_status(spark, sf_dir):
-    return gates.gate(ticks.faulty_ticks(spark, sf_dir), gates.DROP).select("arrival", "instrument_id", "sequence", "status")
+    return gates.drop(ticks.faulty_ticks(spark, sf_dir)).select("arrival", "instrument_id", "sequence", "status")
 
 
 @query(
