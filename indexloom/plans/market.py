@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, fixed, wire
-from ..operators import actions, gates, index_values, latest, metrics, refdata
+from ..operators import actions, gates, index_values, latest, metrics, refdata, sampling
 from ..operators.durable import cut
 from ..sources import catalog, reference, ticks
 from ..streaming import messages
@@ -592,6 +592,21 @@ def latency_samples(spark, sf_dir):
     return messages.latency_samples(measured, 128).select("arrival", "processing_nanos", "e2e_nanos")
 
 
+@query(
+    "batch_samples",
+    """, b AS (SELECT arrival // 400 AS batch, count(*) AS n, arg_min(arrival, arrival) FILTER (WHERE status <> 'duplicate') AS arrival, row_number() OVER (ORDER BY arrival // 400) AS i FROM reported GROUP BY arrival // 400),
+c AS (SELECT 0::BIGINT AS i, 0::BIGINT AS count, false AS sampled UNION ALL SELECT b.i, CASE WHEN count + n >= 250 THEN 0 ELSE count + n END, count + n >= 250 FROM c JOIN b ON b.i = c.i + 1)
+SELECT batch, b.arrival, instrument_id, greatest(1000000000000000000 + b.arrival * 8000000 - receive_ts_nanos, 0) AS processing_nanos FROM b JOIN c USING (i) JOIN reported r ON r.arrival = b.arrival WHERE sampled""",
+    "reported",
+    recursive=True,
+)
+def batch_samples(spark, sf_dir):
+    """Ticks come in batches of 400 arrivals; about one batch in three is sampled."""
+    gated = gates.report(ticks.faulty_ticks(spark, sf_dir)).withColumn("batch", F.call_function("div", "arrival", F.lit(400)))
+    measured = messages.latency_measures(sampling.batch_samples(gated, "batch", 250), F.lit(1_000_000_000_000_000_000) + F.col("arrival") * 8_000_000)
+    return measured.select("batch", "arrival", "instrument_id", "processing_nanos")
+
+
 def _alarm(name: str, statistic: str, value: str, sql: str | None = None) -> None:
     """An alarm over ticks whose figures follow from their columns."""
     alarm = next(a for a in metrics.ALARMS if a.name == name)

@@ -17,19 +17,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions import codec
 from ..operators import gates, latest
+from . import messages, tables
+from .messages import STREAMS, stream_path  # noqa: F401
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-#: Names of the streams of the engine; each is a folder of files below a root.
-STREAMS = ["ticks.raw", "ticks.normalized", "index.deltas", "index.snapshots", "engine.metrics", "corporate.actions", "index.audit", "dlq.events"]
-
-
-def stream_path(root: str, name: str) -> str:
-    if name not in STREAMS:
-        raise ValueError(f"no stream is named {name}")
-    return f"{root}/{name}"
-
-
 def write_frames(ticks: DataFrame, root: str) -> None:
     """Ticks as 47-byte frames with their partition and offset (arrival), appended to the raw stream."""
     ticks.select("partition", F.col("arrival").alias("offset"), codec.encode(codec.TICK).alias("value")).write.mode("append").parquet(stream_path(root, "ticks.raw"))
@@ -92,19 +84,23 @@ def append_batches(stream: DataFrame, root: str, name: str, checkpoint: str):
 
 
 def keep_latest(values: DataFrame, path: str, checkpoint: str):
-    """A query that keeps, for each index, the row of the highest sequence. Each micro-batch writes a new version beside the one before, of which the newest whole one counts."""
+    """A query that keeps, for each index, the row of the highest sequence in a ``tables.KeyedTable``, whose columns are those of ``values`` without ``arrival``."""
+    schema = T.StructType([f for f in values.schema.fields if f.name != "arrival"])
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        columns = [c for c in batch.columns if c != "arrival"]
-        stored = batch.select(*columns).limit(0) if number == 0 else spark.read.schema(batch.select(*columns).schema).parquet(f"{path}/version={number - 1}")
-        latest.upsert(stored, batch).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={number}")
+        table = tables.KeyedTable(batch.sparkSession, path, "index_id", schema)
+        batch = batch.persist()
+        try:
+            table.merge(batch, number, latest.upsert)
+        finally:
+            batch.unpersist()
 
     return values.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def publish_actions(actions: DataFrame, root: str) -> None:
-    """Corporate actions as JSON, to their stream and to the audit log."""
-    rows = actions.select(F.to_json(F.struct("index_id", "instrument_id", "type", "new_weight_e8")).alias("value"))
+    """Corporate actions as JSON messages (by index, at the place where they take effect), to their stream and to the audit log."""
+    fields = [F.col(c).alias(messages.camel(c)) for c in ("index_id", "instrument_id", "type", "new_weight_e8")]
+    rows = actions.select(F.col("index_id").cast("string").alias("key"), F.col("o1").alias("offset"), F.to_json(F.struct(*fields)).alias("value"))
     for name in ("corporate.actions", "index.audit"):
-        rows.write.mode("append").text(stream_path(root, name))
+        rows.write.mode("append").parquet(stream_path(root, name))

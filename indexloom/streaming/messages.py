@@ -1,6 +1,6 @@
 """JSON messages of the engine's streams: snapshots, corporate actions and metrics, in and out, and what a restart reads.
 
-Messages are rows (key, offset, value) in the folders of ``engine.stream_path``; ``value`` is a JSON object with names in
+Messages are rows (key, offset, value) in the folders of ``stream_path``; ``value`` is a JSON object with names in
 camel case. Everything is a column expression, so that the same functions serve batches and streams.
 """
 
@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import latest
-from .engine import stream_path
+
+#: Names of the streams of the engine; each is a folder of files below a root.
+STREAMS = ["ticks.raw", "ticks.normalized", "index.deltas", "index.snapshots", "engine.metrics", "corporate.actions", "index.audit", "dlq.events"]
+
+
+def stream_path(root: str, name: str) -> str:
+    if name not in STREAMS:
+        raise ValueError(f"no stream is named {name}")
+    return f"{root}/{name}"
+
 
 SNAPSHOT_SCHEMA = "index_id smallint, sequence bigint, value_e8 bigint, divisor double, instrument_ids array<int>, latest_prices_e8 array<bigint>, weights_e8 array<bigint>, last_timestamp_nanos array<bigint>, last_sequences array<bigint>, timestamp_nanos bigint, partition_offsets array<bigint>"
 ACTION_SCHEMA = "index_id smallint, instrument_id int, type string, new_weight_e8 bigint"
@@ -67,10 +76,8 @@ def replayed(ticks: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def read_actions(spark: SparkSession, root: str, stream: bool = False) -> DataFrame:
-    """Corporate actions as published (``engine.publish_actions``), as a batch or a stream; an unreadable line has nulls."""
-    reader = spark.readStream if stream else spark.read
-    lines = reader.text(stream_path(root, "corporate.actions"))
-    return lines.select(F.from_json("value", ACTION_SCHEMA).alias("a")).select("a.*")
+    """Corporate actions as published (``engine.publish_actions``), with their place ``o1``, as a batch or a stream; an unreadable message has nulls."""
+    return from_messages(read_messages(spark, root, "corporate.actions", stream), ACTION_SCHEMA).drop("key").withColumnRenamed("offset", "o1")
 
 
 def latency_measures(ticks: DataFrame, now_nanos: F.Column) -> DataFrame:

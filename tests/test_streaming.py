@@ -1,10 +1,13 @@
 """Micro-batches give what a batch gives, and a restarted query goes on where it stopped."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from indexloom.operators import gates
+from indexloom.operators import actions, gates, latest, sampling
 from indexloom.sources import synthetic, ticks
-from indexloom.streaming import engine, messages
+from indexloom.streaming import engine, messages, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,7 +46,35 @@ def test_latest_values_sink(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     engine.keep_latest(stream, out, str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/version=1").collect()) == [(1, 2, 20), (2, 1, 5)]
+    table = tables.KeyedTable(spark, out, "index_id", "index_id int, sequence bigint, value_e8 bigint")
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 2, 20), (2, 1, 5)]
+
+
+def test_keyed_table_rewrites_touched_buckets_only(spark, tmp_path):
+    schema = "index_id int, sequence bigint, value_e8 bigint"
+    table = tables.KeyedTable(spark, str(tmp_path / "t"), "index_id", schema, buckets=4)
+    batch = lambda rows: spark.createDataFrame([(*r, 1) for r in rows], f"{schema}, arrival bigint")
+    stored = lambda: sorted(map(tuple, table.read().collect()))
+    assert stored() == []
+    table.merge(batch([(i, 1, i) for i in range(20)]), 0, latest.upsert)
+    first = table.current()
+    table.merge(batch([(3, 2, 33), (3, 1, 99)][:1]), 1, latest.upsert)
+    want = sorted([(i, 1, i) for i in range(20) if i != 3] + [(3, 2, 33)])
+    assert stored() == want and sum(first[b] != f for b, f in table.current().items()) == 1
+
+    def fails(old, new):
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        table.merge(batch([(4, 9, 9)]), 2, fails)
+    assert stored() == want
+    (tmp_path / "t" / "batch=2" / "__bucket=0").mkdir(parents=True)  # what a lost batch may leave
+    for number in range(2, 8):  # a batch that is run again replaces itself
+        table.merge(batch([(5, number, number)]), number, latest.upsert)
+        table.merge(batch([(5, number, number)]), number, latest.upsert)
+    assert stored() == sorted([r for r in want if r[0] != 5] + [(5, 7, 7)])
+    files = [p for p in (tmp_path / "t").rglob("*.parquet")]
+    assert len(files) <= 4 * 4 and len(list((tmp_path / "t").glob("*.pointer"))) == 1
 
 
 def test_synthetic_stream(spark, tmp_path):
@@ -65,8 +96,8 @@ def test_synthetic_stream(spark, tmp_path):
 def test_actions_go_to_both_logs(spark, tmp_path):
     rows = spark.createDataFrame([(1, 100, 1, "WeightChange", 5)], "o1 bigint, index_id smallint, instrument_id int, type string, new_weight_e8 bigint")
     engine.publish_actions(rows, str(tmp_path))
-    texts = [spark.read.text(engine.stream_path(str(tmp_path), n)).select(F.get_json_object("value", "$.type")).first()[0] for n in ("corporate.actions", "index.audit")]
-    assert texts == ["WeightChange"] * 2
+    texts = [spark.read.parquet(engine.stream_path(str(tmp_path), n)).select(F.get_json_object("value", "$.newWeightE8")).first()[0] for n in ("corporate.actions", "index.audit")]
+    assert texts == ["5"] * 2
 
 
 def test_snapshots_actions_and_replay_as_messages(spark, tmp_path):
@@ -81,7 +112,7 @@ def test_snapshots_actions_and_replay_as_messages(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, snaps.where("index_id = 101 OR sequence = 2").collect()))
     ticks = spark.createDataFrame([(p, a) for p in (0, 1, 2) for a in (0, 20, 21, 41)], "partition int, arrival long")
     assert sorted(map(tuple, messages.replayed(ticks, got).collect())) == [(0, 21), (0, 41), *[(p, a) for p in (1, 2) for a in (0, 20, 21, 41)]]
-    acts = spark.createDataFrame([(100, 1, "WeightChange", 7), (101, 2, "ConstituentRemoval", None)], messages.ACTION_SCHEMA)
+    acts = spark.createDataFrame([(40, 100, 1, "WeightChange", 7), (41, 101, 2, "ConstituentRemoval", None)], actions.ACTION_SCHEMA)
     engine.publish_actions(acts, root)
     assert sorted(map(tuple, messages.read_actions(spark, root).collect())) == sorted(map(tuple, acts.collect()))
     query = messages.read_actions(spark, root, stream=True).writeStream.format("memory").queryName("acts").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start()
@@ -89,3 +120,18 @@ def test_snapshots_actions_and_replay_as_messages(spark, tmp_path):
     assert spark.table("acts").count() == 2
     state = messages.checkpoint_state(query, 4_000_000_000_000)
     assert state["age_millis"] > 0 and state["state_rows"] == 0
+
+
+@pytest.mark.parametrize(("rate", "block"), [(1, 4), (7, 4), (50, 3), (128, 1 << 14), (0, 4)])
+def test_sampled_batches_equal_a_counter(spark, rate, block):
+    rnd = random.Random(rate)
+    sizes = [(i, rnd.choice([0, 1, 3, 40])) for i in range(200) if rnd.random() < 0.9]
+    count, want = 0, []
+    for i, n in sizes:
+        count += n
+        hit = rate > 0 and count >= rate
+        count = 0 if hit else count
+        want.append((i, n, hit))
+    rnd.shuffle(sizes)
+    got = sampling.sampled_batches(spark.createDataFrame(sizes, "batch long, n long"), rate, block).collect()
+    assert sorted(map(tuple, got)) == want
