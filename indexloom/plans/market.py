@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, fixed, wire
-from ..operators import actions, gates, index_values, latest, metrics, refdata, sampling
+from ..operators import actions, blocks, gates, index_values, latest, metrics, refdata, sampling
 from ..operators.durable import cut
 from ..sources import catalog, reference, ticks
 from ..streaming import messages
@@ -539,13 +539,6 @@ def alarm_stale_rate(spark, sf_dir):
     return metrics.alarm_states(points, alarm, "micros", F.coalesce((F.col("result") == "stale").cast("int"), F.lit(0)), of=F.lit(1))
 
 
-@query("alarm_latency", _alarm_sql("ticks", 60, 2, "max(price_e8 % 7000000)::DOUBLE", 5_000_000), "ticks")
-def alarm_latency(spark, sf_dir):
-    alarm = next(a for a in metrics.ALARMS if a.name == "processing-p99")
-    points = ticks.raw_ticks(spark, sf_dir).withColumn("micros", F.floor(F.col("receive_ts_nanos") / 1000))
-    return metrics.alarm_states(points, alarm, "micros", F.col("price_e8") % 7_000_000)
-
-
 @query("dead_letter", "SELECT arrival, (arrival // 4 % 2 = 0) AS short FROM ticks WHERE arrival // 4 % 61 = 0", "ticks")
 def dead_letter(spark, sf_dir):
     event = (F.col("arrival") / 4).cast("bigint")
@@ -607,20 +600,72 @@ def batch_samples(spark, sf_dir):
     return measured.select("batch", "arrival", "instrument_id", "processing_nanos")
 
 
-def _alarm(name: str, statistic: str, value: str, sql: str | None = None) -> None:
-    """An alarm over ticks whose figures follow from their columns."""
+def _alarm(name: str, points: Callable[[SparkSession, str], DataFrame], value: str, sql_points: str, sql_value: str, needs: str) -> None:
+    """An alarm over what the engine measures: ``points`` has receive_ts_nanos and what ``value`` names."""
     alarm = next(a for a in metrics.ALARMS if a.name == name)
+    lead = f", points AS ({sql_points})" + "\n"
 
-    @query(f"alarm_{name.replace('-', '_')}", _alarm_sql("ticks", alarm.seconds, alarm.periods, f"{statistic}({sql or value})::DOUBLE", alarm.threshold), "ticks")
+    @query(f"alarm_{name.replace('-', '_')}" if name != "processing-p99" else "alarm_latency", lead + _alarm_sql("points", alarm.seconds, alarm.periods, sql_value, alarm.threshold), needs)
     def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-        points = ticks.raw_ticks(spark, sf_dir).withColumn("micros", F.floor(F.col("receive_ts_nanos") / 1000))
-        return metrics.alarm_states(points, alarm, "micros", F.expr(value))
+        timed = points(spark, sf_dir).withColumn("micros", F.call_function("div", "receive_ts_nanos", F.lit(1000)))
+        return metrics.alarm_states(timed, alarm, "micros", F.expr(value))
+
+
+def _released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applied ticks with their latencies: a tick that waits for a hole is applied when the tick that fills it is received."""
+    gated = gates.applied(gates.buffer_unbounded(ticks.faulty_ticks(spark, sf_dir)))
+    filler = gated.where(F.col("status") == gates.ACCEPTED).select(F.col("arrival").alias("o1"), F.col("receive_ts_nanos").alias("now"))
+    return messages.latency_measures(gated.join(filler, "o1"), F.col("now"))
+
+
+_RELEASED_SQL = """WITH f AS (SELECT *, first_value(sequence) OVER (PARTITION BY instrument_id ORDER BY arrival) AS fs, row_number() OVER (PARTITION BY instrument_id, sequence ORDER BY arrival) AS cp FROM faulty),
+  v AS (SELECT *, row_number() OVER w AS place, max(arrival) OVER w AS filled FROM f WHERE cp = 1 AND sequence >= fs WINDOW w AS (PARTITION BY instrument_id ORDER BY sequence ROWS UNBOUNDED PRECEDING))
+  SELECT v.receive_ts_nanos, greatest(n.receive_ts_nanos - v.receive_ts_nanos, 0) AS processing, CASE WHEN v.exchange_ts_nanos > 0 THEN greatest(n.receive_ts_nanos - v.exchange_ts_nanos, 0) END AS e2e
+  FROM v JOIN v n ON n.arrival = v.filled WHERE v.sequence - v.fs = v.place - 1"""
+
+_alarm("processing-p99", _released, "processing_nanos", _RELEASED_SQL, "max(processing)::DOUBLE", "faulty")
+_alarm("e2e-p99", _released, "e2e_nanos", _RELEASED_SQL, "max(e2e)::DOUBLE", "faulty")
+
+
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.report(ticks.faulty_ticks(spark, sf_dir))
+
+
+_alarm("duplicates", _reported, "int(status = 'duplicate')", "SELECT * FROM reported", "count(*) FILTER (WHERE status = 'duplicate')::DOUBLE", "reported")
+_alarm("calculation-failures", _results, "int(coalesce(result = 'failed', false))", "SELECT * FROM results", "count(*) FILTER (WHERE result = 'failed')::DOUBLE", "results")
+
+
+def _dead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters at the time when their frames were received, beside all other frames."""
+    bad = F.col("arrival") % 244 == 0
+    framed = ticks.clean_ticks(spark, sf_dir).withColumn("received", F.col("receive_ts_nanos")).withColumn("instrument_id", F.when(bad, 0).otherwise(F.col("instrument_id")))
+    frames = framed.select(F.col("received").alias("offset"), codec.encode(codec.TICK).alias("value"))
+    good, dead = split_dead_letters(decode_frames(frames))
+    return good.select("arrival", F.lit(0).alias("dropped")).union(dead.select("arrival", F.lit(1))).withColumnRenamed("arrival", "receive_ts_nanos")
+
+
+_alarm("dropped", _dead, "dropped", "SELECT receive_ts_nanos, arrival % 244 = 0 AS dropped FROM ticks", "count(*) FILTER (WHERE dropped)::DOUBLE", "ticks")
+
+
+def _lags(topic: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Lags as the clients' statistics report them, a document an event."""
+
+    def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raw = ticks.raw_ticks(spark, sf_dir)
+        document = F.format_string('{"topics":{"ticks.raw":{"partitions":{"0":{"consumer_lag":%d},"1":{"consumer_lag":40},"-1":{"consumer_lag":99}}},"index.deltas":{"partitions":{"0":{"consumer_lag":%d}}}}}', F.col("quantity") * 150, F.col("quantity") * 60 - 1)
+        return latest.consumer_lag(raw.select(F.col("receive_ts_nanos").alias("id"), document.alias("json")), topic).withColumnRenamed("id", "receive_ts_nanos")
+
+    return points
+
+
+_alarm("consumer-lag", _lags("ticks.raw"), "consumer_lag", "SELECT receive_ts_nanos, quantity * 150 + 40 AS lag FROM ticks", "max(lag)::DOUBLE", "ticks")
+_alarm("publisher-lag", _lags("index.deltas"), "consumer_lag", "SELECT receive_ts_nanos, greatest(quantity * 60 - 1, 0) AS lag FROM ticks", "max(lag)::DOUBLE", "ticks")
+
+
+def _depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks that came in less those that an index took, after each tick."""
+    came = _results(spark, sf_dir).select(F.lit(0).alias("engine"), F.col("arrival").alias("o1"), F.lit(0).alias("o2"), "receive_ts_nanos", F.when(F.col("result") == "applied", 0).otherwise(1).cast("bigint").alias("left"))
+    return blocks.running(came, ["engine"], {"depth": (blocks.SUM, F.col("left"))}, before=False)
 
 
-_alarm("e2e-p99", "max", "price_e8 % 60000000")
-_alarm("consumer-lag", "max", "quantity * 200")
-_alarm("ring-depth", "max", "price_e8 % 65536")
-_alarm("duplicates", "sum", "quantity")
-_alarm("calculation-failures", "sum", "int(quantity = 7)", "(quantity = 7)::INTEGER")
-_alarm("dropped", "sum", "int(quantity = 9)", "(quantity = 9)::INTEGER")
-_alarm("publisher-lag", "max", "quantity * 100")
+_alarm("ring-depth", _depths, "depth", "SELECT receive_ts_nanos, sum(CASE WHEN result = 'applied' THEN 0 ELSE 1 END) OVER (ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS depth FROM results", "max(depth)::DOUBLE", "results")
