@@ -4,7 +4,7 @@ A text's lower-cased words are dealt into units: lines and sentences, where thos
 to the next. Units are also cut wherever the hash of two neighbouring words says so (or else at MAX_UNIT words), so that
 a passage holds whole units wherever its own ends fall, and lines of few words come back into step. Digests are grouped globally. The k-th occurrence of a digest in
 a text is tied to the k-th one of the earliest text that has so many (or to the first occurrence, where that text is its
-own). Ties that follow on in both texts are a chain. A chain is lengthened word by word at both ends against the words
+own), and each later one to the first one of its own text as well. Ties that follow on in both places are a chain. A chain is lengthened word by word at both ends against the words
 around its earlier place, and is a passage if it then has ``min_words`` words. The earliest occurrence of a passage
 stays, later ones are removed, and offsets stay those of the original.
 
@@ -12,7 +12,8 @@ Digests have 64 bits in the global grouping; a chain counts only if a second has
 Texts are ranked by doc_id, nulls last, and by the hash of the text where those are equal.
 
 Defined results: a null or empty text has no units; rows that share doc_id and text (or have no doc_id and share the
-text) are one text, of which none outranks another; what repeats only within one text stays; passages that overlap are
+text) are one text, of which none outranks another; a text that repeats with a period keeps its first one, or
+a unit or two of it where the period is shorter than a unit; passages that overlap are
 one, named after the earlier place of the one that starts first; texts of any length are read whole; an empty table
 gives an empty result; other columns, whatever their names, pass through ``remove_passages`` untouched.
 """
@@ -124,9 +125,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.concatenate((np.arange(len(digest)), np.flatnonzero(k)))
             again = np.arange(len(rows)) >= len(digest)
             of = u.text[rows]
+            earliest = np.zeros(len(order), np.int64)  # the first unit of a text that has a unit's digest
+            earliest[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] - u.first[u.text[order]]
             columns = [digest.view(np.int64)[rows], np.where(again, 0, k[rows]).astype(np.int32), own[of], (rows - u.first[of]).astype(np.int32), (u.stop - u.start)[rows].astype(np.int32), again]
-            columns = [batch.column(0).take(pa.array(of + a)), *map(pa.array, columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "k", "own", "nth", "words", "again"])
+            columns = [batch.column(0).take(pa.array(of + a)), *map(pa.array, columns), pa.array(np.where(again, -1, earliest[rows]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "k", "own", "nth", "words", "again", "earliest"])
 
 
 def _around(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
@@ -184,12 +187,16 @@ def _lengthen(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
 
 def _chains(texts: DataFrame) -> DataFrame:
     """Chains of ties: ``n`` units from ``nth`` on of a text (doc_id, own) stand from ``a_nth`` on in an earlier one (a_doc, a_own)."""
-    found = texts.select("doc_id", "text").mapInArrow(_units, "doc_id bigint, digest bigint, k int, own bigint, nth int, words int, again boolean")
+    found = texts.select("doc_id", "text").mapInArrow(_units, "doc_id bigint, digest bigint, k int, own bigint, nth int, words int, again boolean, earliest int")
     place = F.struct("doc_id", "own", "nth")
     first = found.where("NOT again").groupBy("digest", "k").agg(F.min(place).alias("f"), F.max(F.struct("doc_id", "own")).alias("last"))
     # written first, so that both sides of the join are shuffled for it, and a frequent digest can be split
     first = cut(first.where(F.struct("f.doc_id", "f.own") < F.col("last")).select("digest", "k", F.col("f.doc_id").alias("a_doc"), F.col("f.own").alias("a_own"), F.col("f.nth").alias("a_nth")))
-    ties = found.join(first, ["digest", "k"]).where(F.struct("a_doc", "a_own") < F.struct("doc_id", "own")).withColumn("delta", F.col("a_nth") - F.col("nth"))
+    joined = found.join(first, ["digest", "k"], "left")
+    other = F.when(F.struct("a_doc", "a_own") < F.struct("doc_id", "own"), F.struct("a_doc", "a_own", "a_nth"))
+    same = F.when((F.col("earliest") >= 0) & (F.col("earliest") < F.col("nth")), F.struct(F.col("doc_id").alias("a_doc"), F.col("own").alias("a_own"), F.col("earliest").alias("a_nth")))
+    places = F.explode(F.array_compact(F.array(other, same))).alias("a")
+    ties = joined.select("doc_id", "own", "nth", "words", places).select("doc_id", "own", "nth", "words", "a.*").withColumn("delta", F.col("a_nth") - F.col("nth"))
     one = ["doc_id", "own", "a_doc", "a_own", "delta"]
     run = F.col("nth") - F.dense_rank().over(Window.partitionBy(*one).orderBy("nth"))  # rows that repeat have one rank
     n = F.max("nth") - F.min("nth") + 1
@@ -261,7 +268,8 @@ d AS (
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, digest ORDER BY nth) - 1 AS k FROM d),
 f AS (SELECT digest, k, arg_min(doc_id, doc_id) AS a_doc, arg_min(nth, doc_id) AS a_nth FROM k GROUP BY digest, k),
 s AS (
-  SELECT DISTINCT k.doc_id, k.nth, z - a AS words, a_doc, a_nth FROM k JOIN f ON k.digest = f.digest AND (f.k = k.k OR f.k = 0) WHERE a_doc < doc_id),
+  SELECT DISTINCT k.doc_id, k.nth, z - a AS words, a_doc, a_nth FROM k JOIN f ON k.digest = f.digest AND (f.k = k.k OR f.k = 0) WHERE a_doc < doc_id
+  UNION SELECT l.doc_id, l.nth, l.z - l.a, e.doc_id, e.nth FROM k l JOIN k e ON e.doc_id = l.doc_id AND e.digest = l.digest AND e.k = 0 WHERE l.k > 0),
 r AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id, a_doc, a_nth - nth ORDER BY nth) AS run FROM s),
 h AS (
   SELECT doc_id, a_doc, min(nth) AS lo, max(nth) AS hi, min(a_nth) AS a_lo, max(a_nth) AS a_hi FROM r GROUP BY doc_id, a_doc, a_nth - nth, run HAVING sum(words) >= 8),
