@@ -15,6 +15,9 @@ from .common import checkpoint_dir
 #: Bytes that one task of a scan owns.
 SPLIT = 8 << 20
 
+#: Tasks of a scan at most.
+RANGES = 1 << 15
+
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """The address of a folder of its own below the shared one."""
@@ -35,7 +38,10 @@ def task_file(number: int, suffix: str) -> str:
 
 
 def byte_ranges(files: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(path, start, stop) of ranges of at most ``split`` bytes, dealt over tasks; ``files`` has path and size."""
+    """(path, start, stop) of ranges of at most ``split`` bytes, dealt over as many tasks as there are ranges (at most RANGES);
+    ``files`` has path and size, and is written already."""
+    found = files.where("size > 0")
+    n = found.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(split).cast("bigint"))).alias("start")
-    ranges = files.where("size > 0").select("path", starts, "size").select("path", "start", F.least(F.col("start") + split, "size").alias("stop"))
-    return ranges.repartition("path", "start")
+    ranges = found.select("path", starts, "size").select("path", "start", F.least(F.col("start") + split, "size").alias("stop"))
+    return ranges.repartition(min(int(n), RANGES), "path", "start")
