@@ -1,13 +1,14 @@
 """Micro-batches give what a batch gives, and a restarted query goes on where it stopped."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from indexloom.operators import actions, gates, latest, sampling
+from indexloom.operators import actions, gates, latest, metrics, sampling
 from indexloom.sources import synthetic, ticks
-from indexloom.streaming import engine, messages, tables
+from indexloom.streaming import alarms, engine, messages, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -135,3 +136,41 @@ def test_sampled_batches_equal_a_counter(spark, rate, block):
     rnd.shuffle(sizes)
     got = sampling.sampled_batches(spark.createDataFrame(sizes, "batch long, n long"), rate, block).collect()
     assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("name", ["duplicates", "stale-rate", "ring-depth"])
+def test_alarms_over_a_stream_equal_those_of_a_table(spark, tmp_path, name):
+    """Over several micro-batches, with periods without points; the last periods stay open."""
+    alarm = next(a for a in metrics.ALARMS if a.name == name)
+    rnd = random.Random(3)
+    points, second = [], 1_700_000_000
+    for _ in range(400):
+        second += rnd.choice([1, 5, 20, 90] + [alarm.seconds * 2] * (rnd.random() < 0.02))
+        points.append((second * 1_000_000, {"duplicates": rnd.randint(0, 40), "stale-rate": int(rnd.random() < 0.2), "ring-depth": rnd.choice([0, 40_000])}[name]))
+    end = points[-1][0] + 10 * alarm.seconds * 1_000_000
+    of = F.lit(1) if alarm.statistic == "rate" else None
+    for a in range(0, 400, 100):
+        spark.createDataFrame(points[a : a + 100], "micros long, v long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("micros long, v long").parquet(str(tmp_path / "in"))
+        query = alarms.alarm_stream(stream, alarm, "micros", F.col("v"), of).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([(end, 0)], "micros long, v long").write.mode("append").parquet(str(tmp_path / "in"))  # closes what is open
+    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("period", "value", "breaching", "alarm").collect()
+    want = metrics.alarm_states(spark.createDataFrame(points, "micros long, v long"), alarm, "micros", F.col("v"), of).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and any(r.alarm for r in want)
+
+
+def test_trigger_waits_its_interval(spark, tmp_path):
+    spark.createDataFrame([(1, 1)], "index_id int, sequence bigint").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("index_id int, sequence bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+    try:
+        query.processAllAvailable()
+        spark.createDataFrame([(1, 2)], "index_id int, sequence bigint").write.mode("append").parquet(str(tmp_path / "in"))
+        query.processAllAvailable()
+        starts = [p["timestamp"] for p in query.recentProgress if p["numInputRows"]]
+    finally:
+        query.stop()
+    millis = [int(datetime.fromisoformat(s.replace("Z", "+00:00")).timestamp() * 1000) for s in starts]
+    assert len(millis) == 2 and millis[1] - millis[0] >= 500 - 50
