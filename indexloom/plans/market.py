@@ -96,7 +96,7 @@ def partition_route(spark, sf_dir):
 
 @query(
     "index_base",
-    """WITH f AS (SELECT l_suppkey, l_partkey, min((l_orderkey, l_linenumber)) AS p FROM lineitem GROUP BY ALL), c AS (SELECT l_suppkey + 1 AS index_id, (p[1] % 1000 + 1) * 1000000 AS price, count(*) OVER w AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY p) = 1 AS first FROM f WINDOW w AS (PARTITION BY l_suppkey)),
+    """WITH f AS (SELECT l_suppkey, l_partkey, min((l_orderkey, l_linenumber)) AS p FROM lineitem GROUP BY ALL), c AS (SELECT l_suppkey + 1 AS index_id, (p[1] % 1000 + 1) * 1000000 AS price, count(*) OVER w AS n, p = min(p) OVER w AS first FROM f WINDOW w AS (PARTITION BY l_suppkey)),
 w AS (SELECT *, 100000000 // n + CASE WHEN first THEN 100000000 % n ELSE 0 END AS weight FROM c)
 SELECT index_id, sum(price::HUGEINT * weight // 100000000)::BIGINT AS base_e8, sum(price::HUGEINT * weight // 100000000)::BIGINT::DOUBLE / 1000.0 AS divisor, count(*) FILTER (WHERE weight > 0)::INTEGER AS constituent_count FROM w GROUP BY index_id""",
 )

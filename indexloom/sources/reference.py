@@ -48,7 +48,7 @@ def indexes(spark: SparkSession, sf_dir: str, faulty: bool = True) -> DataFrame:
 
 
 def constituents(spark: SparkSession, sf_dir: str, faulty: bool = True) -> DataFrame:
-    """One for each part that a supplier's line items name (faulty: one a line item). Weights are equal; the first takes the rest."""
+    """One for each part that a supplier's line items name (faulty: one a line item). Weights are equal; the first (all of those that share its place) takes the rest."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("shares"))
     if not faulty:
         first = lines.groupBy("l_suppkey", "l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "shares")).alias("f"))
