@@ -24,6 +24,13 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The rows of ``df`` written once as Parquet in the shared folder: columns that repeat take little room, and later readers take only those that they need."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def store(address: str) -> tuple[fs.FileSystem, str]:
     """The file system of an address (a path, or a URI such as file:, hdfs: or s3:) and the path in it."""
     if (local := re.fullmatch(r"(?:file:(?://)?)?(/.*)", address)) is not None:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, free_name, mix64, slices, table
+from .shared import stored
 
 MIN_WORDS = 50
 #: Least words of a unit that ends with its line or sentence, and most of any.
@@ -46,6 +47,21 @@ _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(MAX_UNIT)
 _AGAIN = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Digests of words that a worker has seen; begun anew at WORDS of them. Words above LONG bytes are not kept.
+_DIGESTS: dict[bytes, bytes] = {}
+WORDS, LONG = 1 << 17, 64
+
+
+def _digest(word: bytes) -> bytes:
+    """The first eight bytes of a word's MD5."""
+    out = hashlib.md5(word, usedforsecurity=False).digest()[:8]
+    if len(word) <= LONG:
+        if len(_DIGESTS) >= WORDS:
+            _DIGESTS.clear()
+        _DIGESTS[word] = out
+    return out
+
+
 class Units:
     """The units of some texts: ``x`` has a hash for each word, units begin at words ``start`` and end before ``stop``."""
 
@@ -61,7 +77,7 @@ class Units:
         self.word_ends = np.asarray(ends, np.int64)
         known = {w: i for i, w in enumerate(dict.fromkeys(words))}
         at = np.fromiter(map(known.__getitem__, words), np.int64, n)
-        digests = np.frombuffer(b"".join(hashlib.md5(w).digest() for w in known), ">u8")[::2].astype(np.uint64)
+        digests = np.frombuffer(b"".join([_DIGESTS.get(w) or _digest(w) for w in known]), ">u8").astype(np.uint64)
         stops = np.fromiter((w[-1:] in b".!?" for w in known), bool, len(known))
         self.x = digests[at]
         h = (self.x >> np.uint64(36)).astype(np.int64)
@@ -187,7 +203,7 @@ def _lengthen(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
 
 def _chains(texts: DataFrame) -> DataFrame:
     """Chains of ties: ``n`` units from ``nth`` on of a text (doc_id, own) stand from ``a_nth`` on in an earlier one (a_doc, a_own)."""
-    found = texts.select("doc_id", "text").mapInArrow(_units, "doc_id bigint, digest bigint, k int, own bigint, nth int, words int, again boolean, earliest int")
+    found = stored(texts.select("doc_id", "text").mapInArrow(_units, "doc_id bigint, digest bigint, k int, own bigint, nth int, words int, again boolean, earliest int"), "units")  # read twice; cutting costs more than reading
     place = F.struct("doc_id", "own", "nth")
     first = found.where("NOT again").groupBy("digest", "k").agg(F.min(place).alias("f"), F.max(F.struct("doc_id", "own")).alias("last"))
     # written first, so that both sides of the join are shuffled for it, and a frequent digest can be split
