@@ -9,8 +9,8 @@ others are raked again (``bounded_rake``). A keyed hash of the doc_id decides.
 Topics, which the tables lack, are kinds of text by its form (``form_topic``); any column can be given instead.
 
 Defined results: nulls in source, language or topic count as OTHER; where the named shares sum to one, OTHER keeps the
-share of tokens that it has in the data, and the named ones share the rest (a target that names OTHER with 0 drops it); a null text has no tokens and is sampled with its
-cell's probability; a row without a doc_id is decided by its text; repeated rows are decided alike; shares of categories
+share of tokens that it has in the data, and the named ones share the rest (a target that names OTHER with 0 drops it); a null or empty text has no tokens and is sampled with its
+cell's probability; texts of any length are read whole; ties of the hash are decided alike; a row without a doc_id is decided by its text; repeated rows are decided alike; shares of categories
 without tokens go to the others in proportion; targets that no weights can meet are approached until ROUNDS have passed;
 an empty table gives an empty result; other columns, whatever their names, pass through ``sample_documents`` untouched.
 """

@@ -10,7 +10,8 @@ arithmetic and reading can begin anywhere.
 A record is doc_id, piece and number of ids (little-endian 64, 32 and 32 bits, then 16 bytes in all) and the padded ids.
 
 Defined results: a null or empty text is one sequence without ids; a null doc_id is stored as -2**63; rows that repeat get
-slots of their own; texts of any length are cut whole; an empty table gives an empty result.
+slots of their own; texts that share doc_id and text are ties, whose numbers follow in no set order, but their records are equal;
+texts of any length are cut whole; further columns, whatever their names, are passed over; an empty table gives an empty result.
 """
 
 from __future__ import annotations
