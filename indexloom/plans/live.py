@@ -19,7 +19,7 @@ from . import market
 from .market import query
 
 #: Offsets that a micro-batch of these queries takes; in service it is log.ROWS.
-ROWS = 1 << 18
+ROWS = 1 << 20
 
 #: The arrival at which a run in two rounds is split; some of the actions come before it.
 ROUND = 1_500

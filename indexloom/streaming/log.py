@@ -44,7 +44,7 @@ def write_log(frames: DataFrame, path: str, partitions: int, segment: int = SEGM
 
 def read_log(spark: SparkSession, path: str, starts: dict[int, int] | None = None, segment: int = SEGMENT) -> DataFrame:
     """The log as a batch, from an offset in each partition on (all of a partition that is not named): older segments are pruned."""
-    log = spark.read.schema(f"offset bigint, value binary, partition int, segment bigint").parquet(path)
+    log = spark.read.schema("offset bigint, value binary, partition int, segment bigint").parquet(path)
     for p, start in (starts or {}).items():
         log = log.where((F.col("partition") != p) | ((F.col("segment") >= start // segment) & (F.col("offset") >= start)))
     return log.select("partition", "offset", "value")
