@@ -78,7 +78,7 @@ class Units:
         known = {w: i for i, w in enumerate(dict.fromkeys(words))}
         at = np.fromiter(map(known.__getitem__, words), np.int64, n)
         digests = np.frombuffer(b"".join([_DIGESTS.get(w) or _digest(w) for w in known]), ">u8").astype(np.uint64)
-        stops = np.fromiter((w[-1:] in b".!?" for w in known), bool, len(known))
+        stops = np.isin(np.fromiter((w[-1] for w in known), np.uint8, len(known)), np.frombuffer(b".!?", np.uint8))
         self.x = digests[at]
         h = (self.x >> np.uint64(36)).astype(np.int64)
         may, must = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
@@ -166,8 +166,11 @@ def _agree(a: np.ndarray, b: bytes) -> int:
     """How many values agree from the first on."""
     other = np.frombuffer(b, "<u4")
     n = min(len(a), len(other))
-    differ = np.flatnonzero(a[:n] != other[:n])
-    return int(differ[0]) if len(differ) else n
+    if not n or a[0] != other[0]:
+        return 0
+    differ = a[:n] != other[:n]
+    at = int(differ.argmax())
+    return at if differ[at] else n
 
 
 def _lengthen(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -177,15 +180,17 @@ def _lengthen(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
     for batch in batches:
         for a, _, texts in slices(batch.column(2)):
             u, out = Units(texts), []
+            short = (u.x >> np.uint64(32)).astype("<u4")
             for i, text in enumerate(texts):
                 found = []
                 for c in batch.column(3)[a + i].as_py():
                     lo, hi, first, last = u.words_of(i, c["nth"], c["n"])
-                    if hi - lo != c["n_words"] or u.second_hash(lo, hi) != c["check"]:
+                    if hi - lo != c["n_words"]:
                         continue
-                    left = _agree((u.x[max(lo - reach, first) : lo][::-1] >> np.uint64(32)).astype("<u4"), c["before"])
-                    right = _agree((u.x[hi : min(hi + reach, last)] >> np.uint64(32)).astype("<u4"), c["after"])
-                    if hi - lo + left + right >= min_words:
+                    left = _agree(short[max(lo - reach, first) : lo][::-1], c["before"])
+                    right = _agree(short[hi : min(hi + reach, last)], c["after"])
+                    # most chains are everyday phrases and too short; only the others are worth their second hash
+                    if hi - lo + left + right >= min_words and u.second_hash(lo, hi) == c["check"]:
                         found.append((lo - left - first, c["a_doc"], hi + right - first))
                 if not found:
                     continue
