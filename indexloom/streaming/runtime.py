@@ -20,6 +20,8 @@ from ..operators import gates, latest
 from ..operators.metrics import SAMPLES
 from . import engine, live, log, messages, meters
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 #: How often a micro-batch begins at most.
 TRIGGER = "500 milliseconds"
 
@@ -73,6 +75,7 @@ def start(spark: SparkSession, root: str, log_path: str, checkpoint: str, action
     ticks = engine.decode_frames(frames).drop("frame")
     out = live.live_values(ticks, actions, constituents, slots, values, policy, rate=rate, clock=clock)
     publisher = Publisher(root, log_path, f"{checkpoint}/plan", partitions)
+    spark.conf.set(PROVIDER, engine.ROCKSDB)  # the only store that the operators' kind of state can be kept in
     return out.writeStream.foreachBatch(publisher).option("checkpointLocation", f"{checkpoint}/query").trigger(processingTime=trigger).start()
 
 
