@@ -18,8 +18,9 @@ from ..streaming import log, messages, meters, runtime
 from . import market
 from .market import query
 
-#: Offsets that a micro-batch of these queries takes; in service it is log.ROWS.
-ROWS = 1 << 20
+#: Offsets that a micro-batch of these queries takes, and that a segment of a partition spans; in service they are those of log. Four
+#: partitions whose ticks lie four offsets apart or more give a sixteenth of ROWS for each, so half a million ticks a micro-batch.
+ROWS, SEGMENT = 1 << 23, 1 << 20
 
 #: The arrival at which a run in two rounds is split; some of the actions come before it.
 ROUND = 1_500
@@ -40,13 +41,13 @@ class Run:
 
     def append(self, rows: DataFrame, actions: list[tuple]) -> None:
         """Ticks to the log, and actions to their stream."""
-        log.write_log(rows.select("partition", F.col("arrival").alias("offset"), codec.encode(codec.TICK).alias("value")), f"{self.folder}/ticks.raw", ticks.PARTITIONS)
+        log.write_log(rows.select("partition", F.col("arrival").alias("offset"), codec.encode(codec.TICK).alias("value")), f"{self.folder}/ticks.raw", ticks.PARTITIONS, SEGMENT)
         catalog.local(self.spark, actions, acts.ACTION_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.folder}/actions")
 
     def go(self, checkpoint: str = "first", snapshots: DataFrame | None = None, **more: object) -> None:
         """Runs the engine until the log ends."""
         actions = self.spark.readStream.schema(acts.ACTION_SCHEMA).parquet(f"{self.folder}/actions")
-        runtime.drain(runtime.start(self.spark, self.folder, f"{self.folder}/ticks.raw", f"{self.folder}/{checkpoint}", actions, catalog.constituents(self.spark), ticks.PARTITIONS, snapshots, gates.REPORT, ROWS, trigger="0 seconds", **more))
+        runtime.drain(runtime.start(self.spark, self.folder, f"{self.folder}/ticks.raw", f"{self.folder}/{checkpoint}", actions, catalog.constituents(self.spark), ticks.PARTITIONS, snapshots, gates.REPORT, ROWS, SEGMENT, trigger="0 seconds", **more))
 
 
 @query("live_deltas", market.ORACLES["index_value_latest"])

@@ -16,7 +16,10 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -29,7 +32,9 @@ from . import meters
 SLOTS = "instrument_id int, index_id smallint, weight_e8 bigint, price_e8 bigint, newest_nanos bigint, last_sequence bigint"
 VALUES = "index_id smallint, value_e8 bigint, divisor double, constituent_count bigint, sequence bigint, timestamp_nanos bigint, instrument_id int, weight_e8 bigint, price_e8 bigint, newest_nanos bigint, last_sequence bigint"
 
-_EVENT = ["instrument_id", "arrival", "kind", "partition", "sequence", "price_e8", "exchange_ts_nanos", "receive_ts_nanos", "index_id", "target", "type", "new_weight_e8", "flags"]
+#: A row to the first operator is an action (kind 0), or ticks of one instrument (kind 1) as the bytes of a matrix of TICK.
+_EVENT = ["instrument_id", "kind", "arrival", "index_id", "target", "type", "new_weight_e8", "ticks"]
+TICK = ["arrival", "partition", "sequence", "price_e8", "exchange_ts_nanos", "receive_ts_nanos", "flags"]
 
 #: Kinds of rows from the first operator to the second.
 SPAN, ACTION, SLOT, METER = 0, 1, 2, 3
@@ -80,7 +85,34 @@ def contribution(price_e8: int, weight_e8: int) -> int:
 
 def _rows(rows: Iterator[Row], columns: list[str]) -> list[tuple]:
     """The rows of one key in a micro-batch, which the source bounds. Beside a key's initial state can stand a row of nulls."""
-    return [tuple(r[c] for c in columns) for r in rows if r[columns[1]] is not None]
+    out, take = [], None
+    for r in rows:
+        if take is None:  # a row looks a name up among all names
+            take, sure = itemgetter(*[r.__fields__.index(c) for c in columns]), r.__fields__.index(columns[1])
+        if r[sure] is not None:
+            out.append(take(r))
+    return out
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(instrument_id, ticks): one row for each instrument of an Arrow batch, as a stateful operator reads rows value by value."""
+    for batch in batches:
+        keys, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        order = np.argsort(keys, kind="stable")
+        found, starts = np.unique(keys[order], return_index=True)
+        parts = np.split(np.stack(columns, axis=1).astype("<i8")[order], starts[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([p.tobytes() for p in parts[: len(found)]], pa.binary())], names=["instrument_id", "ticks"])
+
+
+def _events(rows: Iterator[Row]) -> list[tuple]:
+    """Actions and ticks of one instrument by arrival: (arrival, kind, the rest of either), actions first."""
+    out = []
+    for _, kind, arrival, *action, ticks in _rows(rows, _EVENT):
+        if kind == 0:
+            out.append((arrival, 0, action))
+        else:
+            out += [(t[0], 1, t[1:]) for t in np.frombuffer(ticks, "<i8").reshape(-1, len(TICK)).tolist()]
+    return sorted(out, key=lambda e: e[:2])
 
 
 class InstrumentState(StatefulProcessor):
@@ -101,9 +133,9 @@ class InstrumentState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         began = time.perf_counter_ns()
         meter = meters.Meter()
-        events = sorted(_rows(rows, _EVENT), key=lambda r: (r[1], r[2]))
+        events = _events(rows)
         if not key[0]:
-            meter.dropped = sum(e[2] for e in events)
+            meter.dropped = sum(e[1] for e in events)
             if events:
                 yield _meter_row(meter)
             return
@@ -117,8 +149,9 @@ class InstrumentState(StatefulProcessor):
         marks = dict.fromkeys(slots, 0)
         spans: dict[tuple[int, int], list] = {}
         out: list[tuple] = []
-        for _, arrival, kind, own_partition, sequence, price, exchanged, received, index_id, target, action, new_weight, flags in events:
+        for arrival, kind, event in events:
             if kind == 0:
+                index_id, target, action, new_weight = event
                 if index_id not in slots:
                     continue
                 slot = slots[index_id]
@@ -129,7 +162,8 @@ class InstrumentState(StatefulProcessor):
                     out.append((index_id, ACTION, marks[index_id], delta, 1, 0, arrival, -1, None, {acts.ADDITION: 1, acts.REMOVAL: -1}.get(action, 0), *[None] * 9))
                 marks[index_id] += 1
                 continue
-            partition, consumed = own_partition, max(consumed, arrival)
+            partition, sequence, price, exchanged, received, flags = event
+            consumed = max(consumed, arrival)
             ticks.append((arrival, sequence, price, exchanged, received, flags))
             if arrival % self.rate == 0:
                 now = time.time_ns() if self.clock is None else self.clock + arrival
@@ -242,10 +276,12 @@ def live_values(ticks: DataFrame, actions: DataFrame, constituents: DataFrame, s
     index ENGINE, has in ``meter`` the engine's counters and percentiles up to the micro-batch, as JSON.
     """
     none = F.lit(None)
-    of_ticks = ticks.select(F.coalesce("instrument_id", F.lit(0)).alias("instrument_id"), "arrival", F.lit(1).alias("kind"), "partition", "sequence", "price_e8", "exchange_ts_nanos", "receive_ts_nanos", none.cast("smallint").alias("index_id"), none.cast("int").alias("target"), none.cast("string").alias("type"), none.cast("bigint").alias("new_weight_e8"), F.col("flags").cast("int").alias("flags"))
+    numbers = ticks.select(F.coalesce("instrument_id", F.lit(0)).alias("instrument_id"), *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in TICK])
+    packed = numbers.mapInArrow(_packed, "instrument_id int, ticks binary")
+    of_ticks = packed.select("instrument_id", F.lit(1).alias("kind"), none.cast("bigint").alias("arrival"), none.cast("smallint").alias("index_id"), none.cast("int").alias("target"), none.cast("string").alias("type"), none.cast("bigint").alias("new_weight_e8"), "ticks")
     holders = constituents.select("index_id", F.col("instrument_id").alias("holder"))
     routed = actions.join(holders, "index_id")
-    of_actions = routed.select(F.col("holder").alias("instrument_id"), F.col("o1").alias("arrival"), F.lit(0).alias("kind"), none.cast("int").alias("partition"), *[none.cast("bigint").alias(c) for c in ("sequence", "price_e8", "exchange_ts_nanos", "receive_ts_nanos")], "index_id", F.col("instrument_id").alias("target"), "type", "new_weight_e8", none.cast("int").alias("flags"))
+    of_actions = routed.select(F.col("holder").alias("instrument_id"), F.lit(0).alias("kind"), F.col("o1").alias("arrival"), "index_id", F.col("instrument_id").alias("target"), "type", "new_weight_e8", none.cast("binary").alias("ticks"))
     steps = of_ticks.unionByName(of_actions).groupBy("instrument_id").transformWithState(InstrumentState(policy, capacity, rate, clock), _STEP, "append", "none", slots.groupBy("instrument_id"))
     out = steps.groupBy("index_id").transformWithState(IndexState(), _OUT, "append", "none", values.groupBy("index_id"))
     out = out.withColumns({c: F.col(c).cast("int") for c in ("constituent_count", "stale_constituent_count")})

@@ -4,7 +4,9 @@ import json
 import pathlib
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from indexloom.functions import codec
@@ -152,3 +154,27 @@ def test_state_of_snapshots_is_that_of_constituents(spark):
 def test_published_streams_are_named():
     with pytest.raises(ValueError, match="no stream"):
         engine.stream_path("root", "other")
+
+
+def test_partitions_of_state_follow_instruments(spark, tmp_path):
+    append(spark, tmp_path, feed(5, 20))
+    no_actions(spark, tmp_path)
+    before = spark.conf.get(runtime.SHUFFLE)
+    spark.conf.set(runtime.SHUFFLE, "48")
+    try:
+        go(spark, tmp_path)
+        assert spark.conf.get(runtime.SHUFFLE) == "48"
+    finally:
+        spark.conf.set(runtime.SHUFFLE, before)
+    for operator in "01":
+        stores = [p for p in pathlib.Path(tmp_path, "check", "query", "state", operator).iterdir() if p.name.isdigit()]
+        assert 0 < len(stores) <= 8 * runtime.STATES
+
+
+def test_ticks_are_packed_by_instrument():
+    rows = [(2, 7, 1, 5, 2**60 + 1, 3, 4, 17), (1, 8, 0, 1, 1, 1, 1, 1), (2, 6, 1, 4, -9, 3, 4, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["instrument_id", *live.TICK])
+    packed = [Row(instrument_id=i, kind=1, arrival=None, index_id=None, target=None, type=None, new_weight_e8=None, ticks=t) for p in live._packed([batch, batch.slice(0, 0)]) for i, t in zip(*(c.to_pylist() for c in p.columns), strict=True)]
+    assert [r.instrument_id for r in packed] == [1, 2]
+    action = Row(instrument_id=2, kind=0, arrival=7, index_id=100, target=2, type=acts.REMOVAL, new_weight_e8=0, ticks=None)
+    assert live._events(iter([packed[1], action])) == [(6, 1, list(rows[2][2:])), (7, 0, [100, 2, acts.REMOVAL, 0]), (7, 1, list(rows[0][2:]))]
