@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..operators import actions as acts
 from ..operators import gates
-from ..operators.durable import checkpoint_dir
+from ..operators.durable import checkpoint_dir, cut
 from ..sources import catalog, ticks
 from ..streaming import log, messages, meters, runtime
 from . import market
@@ -63,7 +63,7 @@ def live_action_path(spark, sf_dir):
     """In two rounds, the second of which goes on from the first one's checkpoint."""
     run = Run.new(spark)
     actions = [(o + 3, *rest) for o, *rest in market._ACTIONS]
-    rows = ticks.faulty_ticks(spark, sf_dir)
+    rows = cut(ticks.faulty_ticks(spark, sf_dir))
     run.append(rows.where(F.col("arrival") < ROUND), [a for a in actions if a[0] < ROUND])
     run.go()
     run.append(rows.where(F.col("arrival") >= ROUND), [a for a in actions if a[0] >= ROUND])
