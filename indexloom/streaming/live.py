@@ -27,6 +27,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions import codec, fixed
 from ..operators import actions as acts
 from ..operators import gates, index_values
+from ..operators.metrics import SAMPLES
 from . import meters
 
 SLOTS = "instrument_id int, index_id smallint, weight_e8 bigint, price_e8 bigint, newest_nanos bigint, last_sequence bigint"
@@ -199,6 +200,7 @@ class InstrumentState(StatefulProcessor):
                 out.append((x, SLOT, 0, 0, 0, 0, -1, -1, None, 0, key[0], *slot, gate.last, partition, consumed, safe, None))
         yield from (_STEP_ROW(*r) for r in out)
         if partition is not None:
+            meter.samples = meter.samples[-SAMPLES:]  # they are by arrival, and no more are kept of all instruments'
             meter.calc_nanos.append(time.perf_counter_ns() - began)
             yield _meter_row(meter)
 

@@ -4,6 +4,7 @@ import json
 import pathlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
@@ -178,3 +179,14 @@ def test_ticks_are_packed_by_instrument():
     assert [r.instrument_id for r in packed] == [1, 2]
     action = Row(instrument_id=2, kind=0, arrival=7, index_id=100, target=2, type=acts.REMOVAL, new_weight_e8=0, ticks=None)
     assert live._events(iter([packed[1], action])) == [(6, 1, list(rows[2][2:])), (7, 0, [100, 2, acts.REMOVAL, 0]), (7, 1, list(rows[0][2:]))]
+
+
+def test_an_instrument_sends_no_more_samples_than_are_kept(monkeypatch):
+    monkeypatch.setattr(live, "SAMPLES", 3)
+    processor = live.InstrumentState(gates.REPORT, 8, 1, 2 * 10**18)
+    held = type("Value", (), {"get": lambda self: None, "update": lambda self, v: None, "iterator": lambda self: iter([((100,), (10**7, 5, 0))]), "updateValue": lambda self, k, v: None})()
+    processor.gate = processor.slots = held
+    ticks = np.array([(i, 1, i + 1, 5, 10, 20, 1) for i in range(9)], "<i8").tobytes()
+    out = list(processor.handleInputRows((1,), iter([Row(instrument_id=1, kind=1, arrival=None, index_id=None, target=None, type=None, new_weight_e8=None, ticks=ticks)]), None))
+    meter = meters.Meter.from_json(next(r.meter for r in out if r.kind == live.METER))
+    assert meter.messages_in == 9 and [s[0] for s in meter.samples] == [6, 7, 8]
