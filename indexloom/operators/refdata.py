@@ -41,11 +41,14 @@ def _rows(df: DataFrame, *rules: Rule) -> DataFrame:
 
 
 def _repeated(df: DataFrame, key: Column) -> DataFrame:
-    return df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(F.struct("*")).alias("first")).where("n > 1")
+    return df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def validate(version: int, effective_from_nanos: int, instruments: DataFrame, indexes: DataFrame, constituents: DataFrame, fx_rates: DataFrame) -> DataFrame:
-    """All broken rules of one snapshot; ``fx_rates`` has from_currency, to_currency and rate_e8."""
+    """All broken rules of one snapshot; ``fx_rates`` has from_currency, to_currency and rate_e8.
+
+    Constituents go past hash tables of indexes and of instruments, so tasks hold parts of these tables and sort no constituents.
+    """
     spark = instruments.sparkSession
     one = spark.range(1)
     counts = instruments.agg(F.count("*").alias("n"), F.max("instrument_id").alias("i")).crossJoin(indexes.agg(F.count("*").alias("x"))).crossJoin(constituents.agg(F.max("instrument_id").alias("c")))  # one row each
@@ -85,16 +88,17 @@ def validate(version: int, effective_from_nanos: int, instruments: DataFrame, in
         ),
         _rows(indexes.join(constituents.select("index_id").distinct(), "index_id", "left_anti"), _rule("V17", always, F.col("code"), "Index '%s' must contain at least one constituent.", "code")),
     ]
-    by_index = constituents.join(indexes.select("index_id", "code", F.col("currency").alias("index_currency"), "methodology"), "index_id")
-    facts = valid.groupBy("instrument_id").agg(F.max_by("currency", "symbol").alias("currency"), F.max("is_active").alias("is_active"))
+    by_index = constituents.join(indexes.select("index_id", "code", F.col("currency").alias("index_currency"), "methodology").hint("shuffle_hash"), "index_id")
+    facts = valid.repartition("instrument_id").groupBy("instrument_id").agg(F.max_by("currency", "symbol").alias("currency"), F.max("is_active").alias("is_active"))
     rates = fx_rates.where("rate_e8 > 0").select(F.upper("from_currency").alias("f"), F.upper("to_currency").alias("t"), F.lit(True).alias("covered")).distinct()
     # each constituent with its instrument, if that is known, and its exchange rate, if there is one
-    known = by_index.join(facts.withColumn("known", F.lit(True)), "instrument_id", "left").join(rates, (F.upper("currency") == F.col("f")) & (F.upper("index_currency") == F.col("t")), "left")
+    known = by_index.join(facts.withColumn("known", F.lit(True)).hint("shuffle_hash"), "instrument_id", "left").join(rates, (F.upper("currency") == F.col("f")) & (F.upper("index_currency") == F.col("t")), "left")
     foreign = ~F.coalesce(F.upper("currency"), F.lit("")).eqNullSafe(F.coalesce(F.upper("index_currency"), F.lit("")))
     uncovered = foreign & (F.col("covered").isNull() | _blank("currency") | _blank("index_currency"))
     entity, item = F.col("code"), "Index '%s' constituent %s "
     on_known = lambda name, broken, message, *values: _rule(name, F.col("known").isNotNull() & (F.expr(broken) if isinstance(broken, str) else broken), entity, message, *values)
-    twice = by_index.join(facts, "instrument_id", "left_semi").groupBy("index_id", "code", "instrument_id").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = by_index.groupBy("index_id", "code", "instrument_id").agg(F.count("*").alias("n")).where("n > 1")
+    twice = repeated.join(valid.select("instrument_id").hint("shuffle_hash"), "instrument_id", "left_semi")
     total = by_index.groupBy("index_id", "code", "methodology").agg(F.sum(F.when(F.col("weight_e8") > 0, F.col("weight_e8")).otherwise(0)).alias("w"))
     found += [
         _rows(twice, _rule("V19", always, entity, "Index '%s' has duplicate constituent instrument id %s.", "code", "instrument_id")),

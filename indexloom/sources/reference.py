@@ -13,6 +13,9 @@ CURRENCIES = ["GBP", "USD", "EUR"]
 #: The version and start that all of a snapshot's indexes should have.
 VERSION = EFFECTIVE = 1
 
+#: Line items that one task gets, or fewer.
+ROWS = 1 << 18
+
 
 def _currency(n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, CURRENCIES)), (n % 3 + 1).cast("int"))
@@ -48,19 +51,26 @@ def indexes(spark: SparkSession, sf_dir: str, faulty: bool = True) -> DataFrame:
 
 
 def constituents(spark: SparkSession, sf_dir: str, faulty: bool = True) -> DataFrame:
-    """One for each part that a supplier's line items name (faulty: one a line item). Weights are equal; the first (all of those that share its place) takes the rest."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("shares"))
+    """One for each part that a supplier's line items name (faulty: one a line item). Weights are equal; the first (all of those that share its place) takes the rest.
+
+    Rows are dealt out by index, ROWS a task or so, and stay so in what joins and groups them by index.
+    """
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // ROWS))
+    lines = table.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") + 1).alias("index_id"), F.col("l_quantity").cast("bigint").alias("shares"))
+    dealt = lines.repartition(tasks, "index_id")
     if not faulty:
-        first = lines.groupBy("l_suppkey", "l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "shares")).alias("f"))
-        lines = first.select("l_suppkey", "l_partkey", "f.*")
+        first = dealt.groupBy("index_id", "l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "shares")).alias("f"))
+        lines = dealt = first.select("index_id", "l_partkey", "f.*")
     place = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    sizes = lines.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    rows = lines.join(sizes, "l_suppkey").withColumn("h", place)
+    sizes = lines.groupBy("index_id").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    sizes = sizes.repartition(tasks, "index_id")  # else Spark deals the rows out as it does the sizes
+    rows = dealt.join(sizes.hint("shuffle_hash"), "index_id").withColumn("h", place)  # only the sizes are held, and no rows are sorted
     bad = lambda m, r: _is("h", m, r) if faulty else F.lit(False)
     share = fixed.div(F.lit(fixed.SCALE), F.col("n"))
     whole = F.when(F.col("h") == F.col("first"), F.lit(fixed.SCALE) - share * (F.col("n") - 1)).otherwise(share)
     out = rows.select(
-        (F.col("l_suppkey") + 1).alias("index_id"),
+        "index_id",
         F.when(bad(239, 6), F.col("l_partkey") + 1_000_000_000).otherwise(F.col("l_partkey") + 1).alias("instrument_id"),
         F.when(bad(223, 2), -1).otherwise(whole).cast("bigint").alias("weight_e8"),
         F.when(bad(211, 1), 0).otherwise((F.col("l_orderkey") % 1000 + 1) * 1_000_000).cast("bigint").alias("initial_price_e8"),

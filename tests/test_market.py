@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from indexloom.functions import codec, fixed, wire
 from indexloom.operators import actions, blocks, durable, gates, index_values, latest, metrics, refdata
 from indexloom.plans import live, market  # noqa: F401  the first adds its queries to the second
-from indexloom.sources import catalog, synthetic
+from indexloom.sources import catalog, reference, synthetic
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -386,3 +386,12 @@ def test_upsert_guards_the_sequence(spark):
     stored = spark.createDataFrame([(1, 5, 50), (2, 5, 50)], schema)
     news = spark.createDataFrame([(1, 9, 90, 1), (1, 4, 40, 2), (2, 6, 60, 1), (3, 1, 10, 1)], schema + ", arrival bigint")
     assert sorted(tuple(r) for r in latest.upsert(stored, news).collect()) == [(1, 5, 50), (2, 6, 60), (3, 1, 10)]
+
+
+def test_reference_data_sorts_no_constituents_and_its_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(reference, "ROWS", 500)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    tables = [make(spark, SF) for make in (reference.instruments, reference.indexes, reference.constituents, reference.fx_rates)]
+    plan = refdata.validate(1, 1, *tables)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    assert f"{lines // 500})" in {p.split(", ")[1].split(", ")[0] for p in re.findall(r"hashpartitioning\(index_id#\d+L, \d+\)", plan)}  # the session has 4 partitions
