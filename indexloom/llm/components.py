@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_key
+from .common import cut, gathered, join_by_key
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _small(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are hung on the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = cut(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-    moved = join_by_key(down, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join_by_key(down, least, "u", written=True).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -38,4 +38,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or now[0] == 0:
             break
         before = now
+        edges = gathered(edges, now[0])
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v"))).distinct()

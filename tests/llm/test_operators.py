@@ -834,3 +834,22 @@ def test_frequent_keys_lose_no_row(spark):
     want = rows.join(rows.groupBy("k").agg(F.count("*").alias("n")), "k")
     assert Counter(map(tuple, got.select("k", "id", "n").collect())) == Counter(map(tuple, want.select("k", "id", "n").collect()))
     assert common.join_by_key(rows.limit(0), rows.limit(0).groupBy("k").agg(F.count("*").alias("n")), "k").count() == 0
+
+
+def test_few_rows_are_not_spread_over_many_tasks(spark, monkeypatch):
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 600, 1, 30).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("key"), "id").localCheckpoint()
+        keyed = lambda: rows.groupBy("key").agg(F.count("*").alias("n"))
+        joined = common.join_by_key(rows, keyed(), "key")
+        assert joined.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and joined.count() == 600 and joined.agg(F.max("n")).first()[0] == 300
+        monkeypatch.setattr(common, "NARROW", 50)
+        assert 4 < common.join_by_key(rows, keyed(), "key").rdd.getNumPartitions() <= 12
+        found = components.components(spark.createDataFrame([(i, i + 1) for i in range(0, 60, 2)] + [(i, i + 2) for i in range(0, 20, 2)], "u long, v long"))
+        assert found.groupBy("component").count().count() == 20 and found.where("node <= 21 AND component <> 0").isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
