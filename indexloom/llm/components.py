@@ -13,30 +13,34 @@ from pyspark.sql import functions as F
 from .common import cut, gathered, join_by_key
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours are hung on the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-    return join_by_key(both.where("v > u"), least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return join_by_key(both.where("v > u"), least, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours are hung on the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = cut(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-    moved = join_by_key(down, least, "u", written=True).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = cut(gathered(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), n))
+    moved = join_by_key(down, least, "u", n, written=True).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return gathered(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), n)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node with an edge; edges have columns u and v, which may be equal. A component is named after its least node."""
+    """(node, component) for every node with an edge; edges have columns u and v, which may be equal. A component is named after its least node.
+
+    Rounds of few edges run in few tasks: no round has more than two edges for each one of the first.
+    """
     edges = cut(edges.where("u <> v").select("u", "v").distinct())
+    n = 2 * edges.count()
+    edges = gathered(edges, n)
     before = None
     while True:
-        edges = cut(_small(cut(_large(edges))))
+        edges = cut(_small(cut(_large(edges, n)), n))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or now[0] == 0:
             break
         before = now
-        edges = gathered(edges, now[0])
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v"))).distinct()
+    return gathered(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v"))).distinct(), n)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, join_by_key, mix64, slices, split_words, table
+from .common import cut, gathered, give_back, join_by_key, mix64, slices, split_words, table
 from .components import components
 
 SHINGLE = 5
@@ -212,23 +212,27 @@ def _nodes(docs: DataFrame) -> DataFrame:
 def node_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, doc_id, component) for every different text with a word: its least doc_id, and the least node of its group."""
     own = _nodes(docs.select("doc_id", "text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    first = cut(own.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     signed = cut(own.select("node", "text").mapInArrow(partial(_sign, bands=bands, rows=rows), "node binary, bands array<bigint>"))
+    n_rows = signed.count()
+    n_keys = n_rows * bands
+    first = cut(gathered(own.groupBy("node").agg(F.min("doc_id").alias("doc_id")), n_rows))
     keyed = signed.select("node", F.explode("bands").alias("band"))
     # copies of a text have equal bands: a bucket is crowded if it holds two different nodes
     crowded = keyed.groupBy("band").agg(F.min(F.xxhash64("node")).alias("lo"), F.max(F.xxhash64("node")).alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    met = cut(join_by_key(keyed, crowded.select("band", "n"), "band").select("node", "band").distinct())
-    degree = join_by_key(met, met.groupBy("band").agg(F.count("*").alias("n")), "band").groupBy("node").agg(F.sum("n").alias("degree"))
-    centre = met.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("c"), F.count("*").alias("n")).select("band", F.col("c.node").alias("u"), "n")
-    pairs = cut(join_by_key(met, centre, "band").where("node <> u").select("u", F.col("node").alias("v")).distinct())
-    paired = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = paired.join(first, "node").select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
+    crowded = cut(gathered(crowded.select("band", "n"), n_keys))
+    n_met = crowded.agg(F.sum("n")).first()[0] or 0  # what follows has at most twice as many rows, until texts are joined
+    met = cut(gathered(join_by_key(keyed, crowded, "band", n_keys, written=True).select("node", "band").distinct(), n_met))
+    degree = join_by_key(met, met.groupBy("band").agg(F.count("*").alias("n")), "band", n_met).groupBy("node").agg(F.sum("n").alias("degree"))
+    centre = gathered(met.join(degree, "node"), n_met).groupBy("band").agg(F.max(F.struct("degree", "node")).alias("c"), F.count("*").alias("n")).select("band", F.col("c.node").alias("u"), "n")
+    pairs = cut(gathered(join_by_key(met, centre, "band", n_met).where("node <> u").select("u", F.col("node").alias("v")).distinct(), n_met))
+    paired = gathered(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), n_met)
+    wanted = gathered(paired.join(first, "node"), n_rows + n_met).select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
     texts = cut(own.join(wanted, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text").dropDuplicates(["node"]))
-    links = cut(_links(pairs, texts, similarity))
-    found = components(links)
-    named = cut(met.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")))
+    links = gathered(cut(_links(pairs, texts, similarity)), n_met)
+    found = cut(components(links))
+    named = cut(gathered(met.join(found, "node", "left"), n_met).select("band", "node", F.coalesce("component", "node").alias("component")))
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    residual = join_by_key(named, split.select("band", "n"), "band").select("node", "component").distinct()
+    residual = gathered(join_by_key(named, split.select("band", "n"), "band", n_met).select("node", "component").distinct(), n_met)
     more = cut(_links(_across(residual, texts, similarity), texts, similarity))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))

@@ -853,3 +853,28 @@ def test_few_rows_are_not_spread_over_many_tasks(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_tasks_follow_the_rows_that_are_read(spark, monkeypatch):
+    """Rows without a key of the other side are read as well; rounds of few edges take few tasks, whatever the number of shuffle partitions."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 600, 1, 30).select(F.col("id").alias("key"), "id").localCheckpoint()
+        monkeypatch.setattr(common, "NARROW", 50)
+        joined = common.join_by_key(rows, rows.where("key < 10").groupBy("key").agg(F.count("*").alias("n")), "key")
+        assert joined.rdd.getNumPartitions() == 12 and sorted(r.id for r in joined.collect()) == list(range(10))
+        monkeypatch.undo()
+        edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long")
+        spark.sparkContext.setJobGroup("rounds", "rounds")
+        found = components.components(edges)
+        tasks = spark.sparkContext.statusTracker()
+        ran = [tasks.getStageInfo(s) for j in tasks.getJobIdsForGroup("rounds") for s in tasks.getJobInfo(j).stageIds]
+        assert sum(s.numTasks for s in ran if s and s.numCompletedTasks) < 800
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and found.where("component <> 0").isEmpty() and found.count() == 31
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
