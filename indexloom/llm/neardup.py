@@ -221,9 +221,10 @@ def node_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     crowded = keyed.groupBy("band").agg(F.min(F.xxhash64("node")).alias("lo"), F.max(F.xxhash64("node")).alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     crowded = cut(gathered(crowded.select("band", "n"), n_keys))
     n_met = crowded.agg(F.sum("n")).first()[0] or 0  # what follows has at most twice as many rows, until texts are joined
-    met = cut(gathered(join_by_key(keyed, crowded, "band", n_keys, written=True).select("node", "band").distinct(), n_met))
+    met = cut(gathered(join_by_key(keyed, crowded, "band", n_keys).select("node", "band").distinct(), n_met))
     degree = join_by_key(met, met.groupBy("band").agg(F.count("*").alias("n")), "band", n_met).groupBy("node").agg(F.sum("n").alias("degree"))
     centre = gathered(met.join(degree, "node"), n_met).groupBy("band").agg(F.max(F.struct("degree", "node")).alias("c"), F.count("*").alias("n")).select("band", F.col("c.node").alias("u"), "n")
+    centre = cut(gathered(centre, n_met))
     pairs = cut(gathered(join_by_key(met, centre, "band", n_met).where("node <> u").select("u", F.col("node").alias("v")).distinct(), n_met))
     paired = gathered(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), n_met)
     wanted = gathered(paired.join(first, "node"), n_rows + n_met).select(F.col("node").alias("n"), F.col("doc_id").alias("d"))

@@ -878,3 +878,21 @@ def test_tasks_follow_the_rows_that_are_read(spark, monkeypatch):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_a_round_of_components_is_three_queries(spark):
+    """The driver holds threads, plans and records of every query and stage, so joins by key run none of their own."""
+    tracker = spark.sparkContext.statusTracker()
+    edges = spark.createDataFrame([(0, i) for i in range(1, 1500)] + [(i, i + 1) for i in range(2000, 2012)], "u long, v long").localCheckpoint()
+    n = 2 * edges.count()
+    spark.sparkContext.setJobGroup("round", "round")
+    try:
+        moved = components._small(components._large(edges, n), n)
+        assert not tracker.getJobIdsForGroup("round")
+        found = components.components(edges)
+        jobs = len(tracker.getJobIdsForGroup("round"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 90
+    assert moved.where("u < 1500 AND v <> 0").isEmpty() and moved.where("u < 1500").count() == 1499
+    assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(1500)} | {(i, 2000) for i in range(2000, 2013)}
